@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality
+from tessera.llm import bpe, licenses, quality
 from tessera.llm.common import materialize, table
 
 
@@ -30,11 +30,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     judged = quality.judge(materialize(counted.drop("text"), "quality"))  # read twice, so written once
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_quality": op7_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op7_quality": op7_quality}
 ORACLE_SQL: dict[str, str] = {}
