@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licenses, quality
+from tessera.llm import bpe, licenses, quality, secret_scan
 from tessera.llm.common import materialize, table
 
 
@@ -34,11 +34,26 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.candidates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    found = secret_scan.discoveries(materialize(found, "secrets"))  # counted over all, then judged: written once
+    return found.select("doc_id", *_kinds(), F.sha2(secret_scan.joined("plain"), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"))
+
+
+def _kinds() -> list:
+    """n_assign, n_access and n_hex: plain spans of each kind."""
+    return [F.size(F.array_remove(F.transform("plain", _is(k)), 0)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+
+
+def _is(kind: str):
+    return lambda s: (s["kind"] == kind).cast("int")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     judged = quality.judge(materialize(counted.drop("text"), "quality"))  # read twice, so written once
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op7_quality": op7_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op7_quality": op7_quality}
 ORACLE_SQL: dict[str, str] = {}
