@@ -53,4 +53,13 @@ def ascii_lower(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of words by WORD, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def packed(df: DataFrame, keep: list[str]) -> Column:
+    """The columns keep in one struct _row, so that their names can't clash with working columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("_row")
+
+
+def unpacked(keep: list[str]) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in keep]

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import packed, unpacked
+
 SPACE = r"[\x20\x09-\x0D]"
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -61,7 +63,7 @@ def with_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     kept = df.columns
     commons = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     out = df.select(
-        *[F.col(f"`{c}`") for c in kept],
+        packed(df, kept),
         F.array_remove(F.split(t, SPACE + "++"), "").alias("_words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         F.char_length(t).alias("_chars"),
@@ -72,7 +74,7 @@ def with_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     n = F.size("_words")
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
     out = out.select(
-        *[F.col(f"`{c}`") for c in kept],
+        "_row",
         "_chars",
         F.array(*marks).alias("_classes"),
         "_common",
@@ -95,7 +97,7 @@ def with_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     seen = F.aggregate("_classes", F.lit(0), lambda acc, v: acc + v)
     repeat = F.coalesce(covered, F.lit(0)).cast("long")
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *unpacked(kept),
         F.col("_n").cast("long").alias("n_words"),
         (F.col("_chars") - F.col("_classes")[0]).cast("long").alias("word_chars"),
         F.col("_classes")[4].cast("long").alias("n_symbols"),

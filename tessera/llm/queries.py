@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licenses, quality, secret_scan
-from tessera.llm.common import materialize, table
+from tessera.llm import bpe, licenses, mixing, quality, secret_scan
+from tessera.llm.common import materialize, n_words, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,11 +49,17 @@ def _is(kind: str):
     return lambda s: (s["kind"] == kind).cast("int")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    mixed = mixing.mix(materialize(docs, "docs"))  # sizes are read often, so counted once
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     judged = quality.judge(materialize(counted.drop("text"), "quality"))  # read twice, so written once
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op7_quality": op7_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
 ORACLE_SQL: dict[str, str] = {}
