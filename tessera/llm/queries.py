@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licenses, mixing, quality, secret_scan
+from tessera.llm import bpe, chat, licenses, mixing, quality, secret_scan
 from tessera.llm.common import materialize, n_words, table
 
 
@@ -61,5 +61,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], said.schema)
+    trees = materialize(chat.linear(said.unionByName(more), "conv_id", "turn", "role", "text"), "chat")
+    paths = chat.best_paths(trees, "conv", "node", "parent", "score")
+    made = chat.format_paths(paths, trees, "conv", "node", "role", "text")
+    return chat.read_back(made).withColumnRenamed("tree", "conv_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat}
 ORACLE_SQL: dict[str, str] = {}
