@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, licenses, mixing, quality, secret_scan
+from tessera.llm import bpe, chat, licenses, mixing, quality, secret_scan, toxicity
 from tessera.llm.common import materialize, n_words, table
 
 
@@ -71,5 +71,21 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(made).withColumnRenamed("tree", "conv_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat}
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Field:
+    """Learned from the labelled rows of docs that aren't held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    return toxicity.train(docs.select("doc_id", "text"), labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
