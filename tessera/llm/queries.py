@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, licenses, mixing, quality, secret_scan, toxicity
+from tessera.llm import bpe, chat, licenses, mixing, ngram_join, quality, secret_scan, toxicity
 from tessera.llm.common import materialize, n_words, table
 
 
@@ -49,6 +49,10 @@ def _is(kind: str):
     return lambda s: (s["kind"] == kind).cast("int")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     mixed = mixing.mix(materialize(docs, "docs"))  # sizes are read often, so counted once
@@ -87,5 +91,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op4_ngram_join": op4_ngram_join, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
