@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, licenses, mixing, ngram_join, quality, secret_scan, toxicity
+from tessera.llm import bpe, chat, itq, licenses, mixing, ngram_join, quality, secret_scan, toxicity
 from tessera.llm.common import materialize, n_words, table
 
 
@@ -75,6 +75,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(made).withColumnRenamed("tree", "conv_id")
 
 
+def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
@@ -91,5 +95,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op4_ngram_join": op4_ngram_join, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op4_ngram_join": op4_ngram_join, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_itq": op9_itq, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
