@@ -1,12 +1,58 @@
-"""A corpus pipeline over the table documents: STAGES in order, each written as Parquet and read again."""
+"""A corpus pipeline over the table documents: STAGES in order, each written as Parquet and read again.
+
+Every stage takes the documents that its predecessor kept and returns the columns of documents; the last
+returns tokens. Its functions take (spark, docs, sf_dir).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, mixing, ngram_join, secret_scan, toxicity
+from tessera.llm.common import materialize, n_words, table
+from tessera.llm.queries import tokenizer_path, toxicity_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half stay."""
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of links the document with the least id stays; of rows that repeat an id, one."""
+    joined = materialize(ngram_join.join(docs), "components")
+    gone = materialize(joined.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    if not joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets give way to their kind in brackets."""
+    clean = secret_scan.redact_all(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (0 to 2 times). Equal rows take the same, rounded down."""
+    key = F.xxhash64("text")
+    narrow = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("h")), "narrow")
+    taken = mixing.mix(narrow).groupBy("doc_id", "h").agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies")).where("copies > 0")
+    taken = taken.withColumnRenamed("doc_id", "taken_id")
+    rows = docs.withColumn("_h", key).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("_h") == F.col("h")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids of every row."""
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
-from tessera.llm.common import materialize, table
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("bpe", tokenize)]
+#: The stages learn a model, find components and fit budgets, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
 
 

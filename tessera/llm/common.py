@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space of the word definitions: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,3 +67,24 @@ def packed(df: DataFrame, keep: list[str]) -> Column:
 
 def unpacked(keep: list[str]) -> list[Column]:
     return [F.col(f"_row.`{c}`").alias(c) for c in keep]
+
+
+def from_text(df: DataFrame, text: str, keep: list[str], compute: Callable[[str], tuple], fields: T.StructType) -> DataFrame:
+    """The columns keep of df, and what compute makes of each row's text (null: empty) as fields.
+
+    A field that has the name of a kept column takes its place. Kept columns stay in Arrow as they are.
+    """
+    kept = [c for c in keep if c not in fields.names]
+    schema = T.StructType([df.schema[c] for c in kept] + list(fields))
+    kinds = to_arrow_schema(fields).types
+    df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = [compute(t or "") for t in part.column(len(kept)).to_pylist()]
+                columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], [*kept, *fields.names])
+
+    return df.mapInArrow(run, schema)

@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import from_text, materialize
+
 #: The plain patterns; re.A keeps letters beyond ASCII from matching ASCII ones in either case.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -109,27 +109,18 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     return plain, tested
 
 
-PLACE = T.StructType().add("start", "integer").add("end", "integer").add("kind", "string")
-SPAN, TESTED = T.ArrayType(PLACE), T.ArrayType(T.StructType([*PLACE, T.StructField("step", T.IntegerType())]))
+PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
+FOUND = T.StructType([T.StructField("plain", T.ArrayType(PLACE)), T.StructField("tested", T.ArrayType(T.StructType([*PLACE, T.StructField("step", T.IntegerType())])))])
 
 
 def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all) of df, with plain (spans) and tested (runs with class and grid step)."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("plain", "tested")]
-    schema = T.StructType([df.schema[c] for c in kept])
-    for name, kind in (("plain", SPAN), ("tested", TESTED)):
-        schema = schema.add(name, kind)
-    df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_scanned"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [find(t) if isinstance(t, str) else ([], []) for t in batch["_scanned"]]
-            batch = batch[kept].copy()
-            batch["plain"] = [[{"start": s, "end": e, "kind": k} for s, e, k in f[0]] for f in found]
-            batch["tested"] = [[{"start": s, "end": e, "kind": k, "step": x} for s, e, k, x in f[1]] for f in found]
-            yield batch
+    def compute(t: str) -> tuple:
+        plain, tested = find(t)
+        return [{"start": s, "end": e, "kind": k} for s, e, k in plain], [{"start": s, "end": e, "kind": k, "step": x} for s, e, k, x in tested]
 
-    return df.mapInPandas(run, schema)
+    return from_text(df, text, df.columns if keep is None else keep, compute, FOUND)
 
 
 def thresholds(found: DataFrame) -> DataFrame:
@@ -157,24 +148,30 @@ def discoveries(found: DataFrame) -> DataFrame:
     return out.withColumn("spans", spans).drop("tested", "_limit")
 
 
-def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Replaces each span of column text by its kind in brackets; overlapping spans become one, named by the first."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(texts, found, strict=True):
-            if t is not None and spans is not None and len(spans):
-                parts, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], f"[{s['kind']} secret]"]
-                    at = max(at, s["end"])
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(text, cut(F.col(text), F.col(spans)))
+def cut(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """Each span (sorted by start) gives way to its kind in brackets; overlapping spans become one, named by the first."""
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{kind} secret]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redact_all(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with every secret in column text cut out: one pass for the counts of the procedure, one that finds again and cuts.
+
+    The limits between them are classes with a discovery, some 200 rows at the very most.
+    """
+    limits = {r["_class"]: r["_least"] for r in thresholds(materialize(candidates(df, text, keep=[]), "secrets")).collect()}
+
+    def compute(t: str) -> tuple:
+        plain, tested = find(t)
+        added = [(s, e, "random") for s, e, c, x in tested if x >= limits.get(c, math.inf) and not any(a < e and s < b for a, b, _ in plain)]
+        return (cut(t, sorted(plain + added)),)
+
+    made = from_text(df, text, df.columns, compute, T.StructType([T.StructField("_cut", T.StringType())]))
+    return made.select(*[F.when(F.col(f"`{c}`").isNull(), None).otherwise(F.col("_cut")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def joined(spans: str) -> Column:

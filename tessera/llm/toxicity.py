@@ -22,15 +22,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import from_text
+
 #: Labelled rows that reach the driver at most, the z of toxic words, and words that get weights at most.
 MAX_ROWS, MIN_Z, MAX_FEATURES = 4000, 3.0, 400
 #: A word: letters, digits, apostrophes within.
@@ -235,17 +235,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def score(df: DataFrame, model: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all) of df with score and toxic_spans (start, end, marginal of words at one half or more)."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("score", "toxic_spans")]
-    span = T.StructType().add("start", "integer").add("end", "integer").add("p", "double")
-    schema = T.StructType([df.schema[c] for c in kept]).add("score", "double").add("toxic_spans", T.ArrayType(span))
-    df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_scored"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.score(t if isinstance(t, str) else None) for t in batch["_scored"]]
-            batch = batch[kept].copy()
-            batch["score"] = [f[0] for f in found]
-            batch["toxic_spans"] = [[{"start": s, "end": e, "p": p} for s, e, p in f[1] if p >= 0.5] for f in found]
-            yield batch
-
-    return df.mapInPandas(run, schema)
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
+    fields = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))])
+
+    def compute(t: str) -> tuple:
+        p, spans = model.score(t)
+        return p, [{"start": s, "end": e, "p": q} for s, e, q in spans if q >= 0.5]
+
+    return from_text(df, text, df.columns if keep is None else keep, compute, fields)
