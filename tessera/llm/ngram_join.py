@@ -7,11 +7,13 @@ first by counts over all documents; only these columns are kept, and of these on
 They are dealt into blocks of columns by hash. Two products follow:
 
 1. Each column's least row is multiplied with its other rows: candidates in proportion to the entries,
-   however many rows a column has. They are counted exactly, and their links' components found.
+   however many rows a column has. Those left are counted exactly, and their links' components found.
 2. The rest: blocks of rows, each against all columns it touches, add up the overlap counts of all pairs
-   that are not in one component yet. A pair whose count in the kept columns is below what its sizes demand,
-   ceil((na + nb) * 4 / 9) less the shingles outside the kept columns, is discarded (as are sizes too far
-   apart); the others are counted exactly.
+   that are not in one component yet.
+
+Of either product's pairs, those whose count in the kept columns is below what their sizes demand,
+ceil((na + nb) * 4 / 9) less the shingles outside the kept columns, are discarded, as are sizes too far
+apart; only the others' whole sets are fetched and counted exactly.
 
 So every pair of different sets is decided, but for those that a chain of links joins already; components
 are exact. Shingles and sets are known by 64-bit hashes; of the frequency order only the MAX_FREQUENT most
@@ -201,6 +203,20 @@ def sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
 
 
+def bounded(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose overlap in the kept columns may suffice for a link."""
+    e = entries.select("shingle", "set", "n")
+    b = pairs.join(e.withColumnRenamed("set", "b").withColumnRenamed("n", "nb"), "b")
+    both = b.join(e.withColumnRenamed("set", "a").withColumnRenamed("n", "na"), ["a", "shingle"])
+    counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+    def outside(n: str):
+        return F.ceil(F.col(n) * SIMILAR / F.lit(100.0) - 1e-9) - 1
+
+    need = F.ceil(SIMILAR * (F.col("na") + F.col("nb")) / F.lit(100.0 + SIMILAR) - 1e-9)
+    return counts.where(F.col("c") >= need - F.greatest(outside("na"), outside("nb"))).select("a", "b")
+
+
 BITS = 1 << 24
 
 
@@ -286,7 +302,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     total = int(made.agg(F.sum("n")).first()[0] or 0)
     entries = materialize(columns(made, total), "columns")
     stars = entries.where("first <> set").where(sizes_fit("first_n", "n")).select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
-    links = linked(stars, made)
+    links = linked(bounded(stars, entries), made)
     roots = materialize(components(links), "roots")
     more = linked(rest(entries, roots), made)
     if not more.isEmpty():
