@@ -5,6 +5,414 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.functions import aggregates as A
+from tessera.operators import assoc, fulltext, lookup, rdf, spatial, timeseries
+from tessera.operators import collections as C
+from tessera.operators.versions import History
+from tessera.plans import builder as B
+from tessera.plans.compile import select, value_of
+from tessera.sources.catalog import load
+from tessera.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def predicate(name: str, cls: str, text: str, columns: list[str], where: str, *params, joins: str = "", **more) -> None:
+    """A query by predicate, with SQL for the same condition."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return select(load(spark, sf_dir), cls, text, *params, **more).select(*columns)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT {', '.join(f't.{c}' for c in columns)} FROM {cls} t {joins} WHERE {where}"
+
+
+def expressions(name: str, cls: str, columns: dict[str, str], sql: dict[str, str], key: str) -> None:
+    """A projection of expressions of the predicate language, with SQL for each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        catalog = load(spark, sf_dir)
+        df = catalog.extent(cls)
+        return df.select(key, *[value_of(catalog, cls, e)[1].alias(n) for n, e in columns.items()])
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT {key}, " + ", ".join(f"{e} AS {n}" for n, e in sql.items()) + f" FROM {cls}"
+
+
+# predicates
+
+L = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+TO_REGION = "JOIN orders o ON t.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey"
+predicate("jsql_path_join", "lineitem", "l_quantity > 45 and ord.customer.nation.region.r_name = 'ASIA' order by l_extendedprice desc", L, "t.l_quantity > 45 AND r.r_name = 'ASIA'", joins=TO_REGION)
+predicate("jsql_compare", "part", "p_size >= 10 and p_size < 40 and p_retailprice <> 1000.0 and p_type != 'X' and p_size <= 35 and p_retailprice > 900", ["p_partkey", "p_size"], "p_size >= 10 AND p_size < 40 AND p_retailprice <> 1000 AND p_type <> 'X' AND p_size <= 35 AND p_retailprice > 900")
+predicate("jsql_between", "part", "p_size between 10 and 20 and p_name between 'a' and 'm'", ["p_partkey", "p_name", "p_size"], "p_size BETWEEN 10 AND 20 AND p_name BETWEEN 'a' AND 'm'")
+predicate("jsql_like", "part", "p_name like '%e%' and not p_type like '_A%'", ["p_partkey", "p_name"], "p_name LIKE '%e%' AND NOT p_type LIKE '_A%'")
+predicate("jsql_like_escape", "customer", "c_name like 'Customer|_%1' escape '|' or c_name like '%#00000%' escape '!'", ["c_custkey", "c_name"], "c_name LIKE 'Customer|_%1' ESCAPE '|' OR c_name LIKE '%#00000%' ESCAPE '!'")
+predicate("jsql_in", "part", "p_size in (1, 2, 3, ?) and p_type in ('ECONOMY', 'PROMO', 'SMALL')", ["p_partkey", "p_size", "p_type"], "p_size IN (1, 2, 3, 7) AND p_type IN ('ECONOMY', 'PROMO', 'SMALL')", 7)
+predicate("jsql_in_collection", "orders", "o_orderpriority in ?", ["o_orderkey"], "o_orderpriority IN ('1-URGENT', '2-HIGH')", ["1-URGENT", "2-HIGH"])
+predicate("jsql_ci_eq", "customer", "c_mktsegment = 'building' or c_mktsegment like 'AUTO%' or c_mktsegment between 'M' and 'MZ'", ["c_custkey", "c_mktsegment"], "lower(c_mktsegment) = 'building' OR lower(c_mktsegment) LIKE 'auto%' OR lower(c_mktsegment) BETWEEN 'm' AND 'mz'")
+predicate("jsql_substr_in", "part", "'ar' in p_name", ["p_partkey", "p_name"], "contains(p_name, 'ar')")
+predicate("jsql_param", "orders", "o_totalprice > ? and o_orderstatus = ?", ["o_orderkey", "o_totalprice"], "o_totalprice > 1000 AND o_orderstatus = 'F'", 1000, "F")
+predicate("jsql_isnull_nav", "lineitem", "supplier.nation.n_name is null or ord.o_orderstatus is not null and l_linenumber = 1", L, "n.n_name IS NULL OR (o.o_orderstatus IS NOT NULL AND t.l_linenumber = 1)", joins="LEFT JOIN supplier s ON t.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN orders o ON t.l_orderkey = o.o_orderkey")
+predicate("jsql_bool_logic", "lineitem", "(l_linenumber and 1) = 0 and not (l_quantity < 10 or l_quantity > 40) or (l_linenumber or 4) = 7", L, "((l_linenumber & 1) = 0 AND NOT (l_quantity < 10 OR l_quantity > 40)) OR (l_linenumber | 4) = 7")
+predicate("jsql_date", "orders", "o_orderdate between '1996-01-01' and 'Dec 31, 1996 11:59:59 PM'", ["o_orderkey", "o_orderdate"], "o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31 23:59:59'")
+predicate("jsql_literals", "region", "true and not false and r_name <> 'it''s' and r_regionkey < 1e1", ["r_regionkey", "r_name"], "r_name <> 'it''s' AND r_regionkey < 10")
+predicate("jsql_current", "region", "current is not null and current <> null", ["r_regionkey"], "TRUE")
+predicate("jsql_div_zero", "part", "p_size / (p_size - p_size) = 1 or p_size = 5", ["p_partkey"], "p_size = 5")
+predicate("contains_with", "orders", "contains items with l_quantity > 49 and l_returnflag = 'R'", ["o_orderkey", "o_totalprice"], "EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = t.o_orderkey AND l_quantity > 49 AND l_returnflag = 'R')")
+predicate("contains_outer", "orders", "contains items with l_extendedprice > o_totalprice", ["o_orderkey"], "EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = t.o_orderkey AND l.l_extendedprice > t.o_totalprice)")
+predicate("contains_not", "customer", "not contains orders with o_orderstatus = 'F' and c_acctbal > 0", ["c_custkey"], "NOT (EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = t.c_custkey AND o_orderstatus = 'F' AND t.c_acctbal > 0))")
+predicate("contains_group_having", "orders", "contains items with l_quantity > 5 group by l_returnflag having count(*) >= 2 and avg l_linenumber > 2 and max l_quantity < 45 and sum l_quantity > 10 and min l_tax >= 0", ["o_orderkey"], "EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = t.o_orderkey AND l_quantity > 5 GROUP BY l_returnflag HAVING count(*) >= 2 AND sum(l_linenumber) // count(*) > 2 AND max(l_quantity) < 45 AND sum(l_quantity) > 10 AND min(l_tax) >= 0)")
+predicate("jsql_order_by", "customer", "order by c_mktsegment, c_acctbal desc", ["c_custkey", "c_mktsegment", "c_acctbal"], "TRUE")
+predicate("jsql_lenient", "orders", "o_totalprice / 0 > 1 and o_orderstatus = 'F'", ["o_orderkey"], "o_orderstatus = 'F' AND o_totalprice > 0", null_mode="lenient")
+
+expressions(
+    "scalar_math", "part",
+    {"add": "p_size + 3 * 2 - 1", "div": "(p_size - 25) / 4", "pow": "p_size ^ 2", "neg": "-p_size", "abs": "abs(p_size - 25)", "bits": "(p_size and 6) or 1", "inv": "not p_size", "rdiv": "p_retailprice / (p_size - 5)", "sin": "sin p_size", "cos": "cos p_size", "tan": "tan(p_size / 100.0)", "asin": "asin(p_size / 50.0)", "acos": "acos(p_size / 50.0)", "atan": "atan p_size", "sqrt": "sqrt p_size", "exp": "exp(p_size / 10.0)", "log": "log(p_size - 1)", "ceal": "ceal(p_retailprice / 7)", "floor": "floor(p_retailprice / 7)", "rpow": "p_retailprice ^ 0.5"},
+    {"add": "CAST(p_size + 3 * 2 - 1 AS BIGINT)", "div": "CAST((p_size - 25) // 4 AS BIGINT)", "pow": "CAST(p_size ^ 2 AS BIGINT)", "neg": "CAST(-p_size AS BIGINT)", "abs": "CAST(abs(p_size - 25) AS BIGINT)", "bits": "CAST((p_size & 6) | 1 AS BIGINT)", "inv": "CAST(~p_size AS BIGINT)", "rdiv": "p_retailprice / CAST(p_size - 5 AS DOUBLE)", "sin": "sin(p_size)", "cos": "cos(p_size)", "tan": "tan(p_size / 100.0)", "asin": "asin(p_size / 50.0)", "acos": "acos(p_size / 50.0)", "atan": "atan(p_size)", "sqrt": "sqrt(p_size)", "exp": "exp(p_size / 10.0)", "log": "CASE WHEN p_size = 1 THEN '-inf'::DOUBLE ELSE ln(p_size - 1) END", "ceal": "ceil(p_retailprice / 7)", "floor": "floor(p_retailprice / 7)", "rpow": "p_retailprice ^ 0.5"},
+    "p_partkey",
+)
+expressions(
+    "scalar_string", "part",
+    {"cat": "p_name + '-' || p_type", "low": "lower p_name", "up": "upper p_name", "len": "length p_name", "code": "p_name[1]", "beyond": "p_name[1000]", "text": "string(p_size)"},
+    {"cat": "p_name || '-' || p_type", "low": "lower(p_name)", "up": "upper(p_name)", "len": "CAST(length(p_name) AS BIGINT)", "code": "CAST(unicode(substr(p_name, 2, 1)) AS BIGINT)", "beyond": "CAST(NULL AS BIGINT)", "text": "CAST(p_size AS VARCHAR)"},
+    "p_partkey",
+)
+expressions("scalar_cast", "part", {"whole": "integer(p_retailprice / 3)", "negative": "integer(-p_retailprice)", "real_size": "real(p_size)", "mixed": "p_size + 0.5"}, {"whole": "CAST(trunc(p_retailprice / 3) AS BIGINT)", "negative": "CAST(trunc(-p_retailprice) AS BIGINT)", "real_size": "CAST(p_size AS DOUBLE)", "mixed": "CAST(p_size AS DOUBLE) + 0.5"}, "p_partkey")
+
+
+@add("scalar_decimal", "SELECT p_partkey, round(p_retailprice::DECIMAL(12,4), 2)::DECIMAL(12,2) AS r2, (p_retailprice::DECIMAL(12,2) + 1.25::DECIMAL(12,2))::DECIMAL(14,2) AS plus, floor(p_retailprice)::BIGINT AS fl, ceil(p_retailprice)::BIGINT AS ce FROM part")
+def scalar_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    price = F.col("p_retailprice").cast("decimal(12,4)")
+    two = F.col("p_retailprice").cast("decimal(12,2)")
+    return p.select("p_partkey", F.round(price, 2).cast("decimal(12,2)").alias("r2"), (two + F.lit("1.25").cast("decimal(12,2)")).cast("decimal(14,2)").alias("plus"), F.floor("p_retailprice").alias("fl"), F.ceil("p_retailprice").alias("ce"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, text: str, *params) -> DataFrame:
+    from tessera.plans.compile import select_from
+
+    return select_from(table(spark, sf_dir, "embeddings"), text, *params).select("vec_id")
+
+
+add("array_get", "SELECT vec_id FROM embeddings WHERE embedding[1] > 0.1 AND embedding[64] < 0")(lambda s, d: _vectors(s, d, "embedding[0] > 0.1 and embedding[63] < 0 and length embedding = 64"))
+add("array_beyond", "SELECT vec_id FROM embeddings WHERE label = 3")(lambda s, d: _vectors(s, d, "embedding[64] > 0 or label = 3"))
+add("array_in", "SELECT vec_id FROM embeddings WHERE list_contains([1, 2, 3], label)")(lambda s, d: select_labels(s, d))
+add("array_exists", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3)) > 0")(lambda s, d: _vectors(s, d, "exists i: (embedding[i] > 0.3)"))
+add("array_exists_pair", "SELECT vec_id FROM embeddings WHERE len(list_filter(range(1, 64), lambda i: embedding[i] > 0.15 AND embedding[i + 1] < -0.25)) > 0")(lambda s, d: _vectors(s, d, "exists i: (embedding[i] > 0.15 and embedding[i + 1] < -0.25)"))
+
+
+def select_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.compile import select_from
+
+    df = table(spark, sf_dir, "embeddings").withColumn("wanted", F.array(F.lit(1), F.lit(2), F.lit(3)))
+    return select_from(df, "label in wanted").select("vec_id")
+
+
+@add("contains_embedded", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 40 AND l_tax > 0.05 AND l_discount * 100 < o.o_totalprice)")
+def contains_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.compile import select_from
+
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_tax", "l_discount")).alias("items"))
+    rows = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    return select_from(rows, "contains items with l_quantity > 40 and l_tax > 0.05 and l_discount * 100 < o_totalprice").select("o_orderkey")
+
+
+@add("builder_query", "SELECT p_partkey FROM part WHERE (p_size BETWEEN 5 AND 15 AND p_name LIKE '%a%') OR p_size IN (40, 41) AND NOT p_retailprice * 2 < 1900")
+def builder_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, price = B.name("p_size"), B.name("p_retailprice")
+    where = (size.between(5, 15) & B.name("p_name").like("%a%")) | (size.is_in([40, 41]) & ~(price * 2 < 1900))
+    return B.run(load(spark, sf_dir), "part", B.query(where, [(size, True)])).select("p_partkey")
+
+
+@add("method_call", "SELECT o_orderkey FROM orders WHERE extract(year FROM o_orderdate) = 1997")
+def method_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = load(spark, sf_dir)
+    catalog["orders"].methods["getYear"] = lambda get: F.year(get("o_orderdate"))
+    return select(catalog, "orders", "year = 1997").select("o_orderkey")
+
+
+@add("polymorphic_scan", "SELECT 'customer' AS _class, c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 5000")
+def polymorphic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.sources.catalog import Catalog, ClassDef
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    catalog = Catalog(ClassDef("party", c.limit(0)), ClassDef("customer", c, parent="party"), ClassDef("supplier", s, parent="party"))
+    found = select(catalog, "party", "balance > 5000")
+    return catalog.is_instance(found, "party").select("_class", "id", "balance")
+
+
+add("get_by_key", "SELECT * FROM nation WHERE n_nationkey = 7")(lambda s, d: load(s, d).get("nation", 7))
+add("count_records", "SELECT count(*) AS n FROM lineitem")(lambda s, d: table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n")))
+
+
+# aggregates
+
+EVENTS = "event_type"
+
+
+def grouped(name: str, tbl: str, key: str, sql: str, *aggs) -> None:
+    QUERIES[name] = lambda s, d: A.aggregate(table(s, d, tbl), [key], *[a() for a in aggs])
+    ORACLE_SQL[name] = f"SELECT {key}, {sql} FROM {tbl} GROUP BY {key}"
+
+
+grouped("agg_count", "events", EVENTS, "count(*) AS n", lambda: A.count().alias("n"))
+grouped("agg_max_min", "events", EVENTS, "max(value) AS hi, min(value) AS lo", lambda: A.maximum("value").alias("hi"), lambda: A.minimum("value").alias("lo"))
+grouped("agg_sums", "lineitem", "l_returnflag", "round(sum(l_quantity), 4) AS total, CAST(sum(l_linenumber) AS BIGINT) AS lines", lambda: F.round(A.real_sum("l_quantity"), 4).alias("total"), lambda: A.integer_sum("l_linenumber").alias("lines"))
+grouped("agg_avg", "lineitem", "l_returnflag", "round(avg(l_quantity), 8) AS mean", lambda: F.round(A.average("l_quantity"), 8).alias("mean"))
+grouped("agg_prd", "nation", "n_regionkey", "product(n_nationkey + 1) AS prd", lambda: A.product(F.col("n_nationkey") + 1).alias("prd"))
+grouped("agg_var_dev", "events", EVENTS, "round(var_pop(value), 6) AS var, round(stddev_pop(value), 6) AS dev", lambda: F.round(A.variance("value"), 6).alias("var"), lambda: F.round(A.deviation("value"), 6).alias("dev"))
+grouped("agg_distinct", "events", EVENTS, "count(DISTINCT nullif(user_id, 3)) + max(CASE WHEN nullif(user_id, 3) IS NULL THEN 1 ELSE 0 END) AS users", lambda: (F.count_distinct(F.nullif("user_id", F.lit(3))) + F.max(F.nullif("user_id", F.lit(3)).isNull().cast("int"))).alias("users"))
+grouped("agg_first_last", "events", EVENTS, "arg_min(user_id, ts) AS first_user, arg_max(user_id, ts) AS last_user", lambda: A.first("user_id", "ts").alias("first_user"), lambda: A.last("user_id", "ts").alias("last_user"))
+grouped("agg_compound", "orders", "o_orderstatus", "count(*) AS n, max(o_totalprice) AS hi, min(o_orderdate) AS since, count(DISTINCT o_custkey) AS customers", lambda: A.count().alias("n"), lambda: A.maximum("o_totalprice").alias("hi"), lambda: A.minimum("o_orderdate").alias("since"), lambda: A.distinct_count("o_custkey").alias("customers"))
+add("agg_topn", "SELECT o_orderstatus, max(o_totalprice, 3) AS best FROM orders GROUP BY o_orderstatus")(lambda s, d: table(s, d, "orders").groupBy("o_orderstatus").agg(A.top("o_totalprice", 3).alias("best")))
+add("agg_top_rows", "SELECT o_orderstatus, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders) WHERE rank <= 5")(lambda s, d: A.top_rows(table(s, d, "orders"), ["o_orderstatus"], "o_totalprice", 5, ["o_orderkey"]).select("o_orderstatus", "o_orderkey", "rank"))
+add("agg_repeat", "SELECT event_type, count(*) FILTER (WHERE n >= 12) AS repeats FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")(lambda s, d: A.repeat_count(table(s, d, "events"), ["event_type"], "user_id", 12))
+add("agg_approx_distinct")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(A.approx_distinct("user_id").alias("users")))
+add("agg_hll_merge")(lambda s, d: table(s, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(A.hll_state("user_id").alias("state")).groupBy("event_type").agg(A.hll_merge("state").alias("users")))
+
+
+@add("agg_merge_partials", "SELECT event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY event_type")
+def agg_merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    odd = F.dayofmonth("ts") % 2
+    parts = [e.where(odd == i).groupBy("event_type").agg(A.count().alias("n"), A.maximum("value").alias("hi")) for i in (0, 1)]
+    return A.merge(parts, ["event_type"], n="sum", hi="max")
+
+
+add("agg_ordered", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")(lambda s, d: A.aggregate(table(s, d, "nation"), ["n_regionkey"], A.count().alias("n"), ordered=True))
+add("memory_profile")(lambda s, d: A.memory_profile({n: table(s, d, n) for n in ("region", "nation", "supplier")}))
+
+
+# lookups
+
+add("idx_get", "SELECT * FROM part WHERE p_partkey = 17")(lambda s, d: lookup.get(table(s, d, "part"), "p_partkey", 17))
+add("idx_range", "SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size <= 20")(lambda s, d: lookup.range_of(table(s, d, "part"), "p_size", 10, 20, low_inclusive=False, descending=True).select("p_partkey", "p_size"))
+add("idx_prefix", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'b')")(lambda s, d: lookup.prefix(table(s, d, "part"), "p_name", "b").select("p_partkey", "p_name"))
+add("idx_prefix_ci", "SELECT c_custkey FROM customer WHERE starts_with(lower(c_mktsegment), 'bu')")(lambda s, d: lookup.prefix(table(s, d, "customer"), "c_mktsegment", "BU", ci=True).select("c_custkey"))
+add("idx_prefix_of", "SELECT n_nationkey, n_name FROM nation WHERE starts_with('NATION_12x', n_name)")(lambda s, d: lookup.prefixes_of(table(s, d, "nation"), "n_name", "NATION_12x").select("n_nationkey", "n_name"))
+add("idx_compound", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey > 10 OR (l_orderkey = 10 AND l_linenumber >= 3)) AND (l_orderkey < 40 OR (l_orderkey = 40 AND l_linenumber < 2))")(lambda s, d: lookup.compound_range(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], (10, 3), (40, 2), high_inclusive=False).select("l_orderkey", "l_linenumber", "l_partkey"))
+add("idx_example", "SELECT p_partkey FROM part WHERE p_type = 'PROMO' AND p_size = 7")(lambda s, d: lookup.by_example(table(s, d, "part"), p_type="PROMO", p_size=7, p_brand=None).select("p_partkey"))
+add("idx_regex", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A_E%'")(lambda s, d: lookup.match(table(s, d, "part"), "p_name", "%A_E%", ci=True).select("p_partkey", "p_name"))
+add("idx_md_range", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice >= 950")(lambda s, d: lookup.box(table(s, d, "part"), {"p_size": (10, 30), "p_retailprice": (950, None), "p_name": (None, None)}).select("p_partkey"))
+add("idx_bit", "SELECT event_id FROM events WHERE (event_id & 5) = 5 AND (event_id & 8) = 0")(lambda s, d: lookup.bits(table(s, d, "events"), "event_id", 5, 8).select("event_id"))
+add("idx_kth", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 100")(lambda s, d: lookup.kth(table(s, d, "orders"), ["o_totalprice", "o_orderkey"], 100).select("o_orderkey"))
+add("idx_rank", "SELECT count(*) FILTER (WHERE o_totalprice < 5000) AS position FROM orders")(lambda s, d: lookup.rank_of(table(s, d, "orders"), "o_totalprice", 5000.0))
+add("idx_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 50")(lambda s, d: lookup.page(table(s, d, "orders"), ["o_totalprice", "o_orderkey"], 50, 10).select("o_orderkey"))
+add("idx_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM orders")(lambda s, d: lookup.positions(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 8).select("o_orderkey", "position"))
+add("bitmap_and_count", "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id FROM events WHERE event_type = 'view' UNION SELECT user_id FROM events WHERE event_type = 'click')")(lambda s, d: lookup.bitmap_count(lookup.bitmap_union(*[lookup.bitmap(table(s, d, "events").where(F.col("event_type") == t), "user_id") for t in ("view", "click")])))
+
+
+def _ids(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(s, d, "customer").select(F.col("c_nationkey").alias("k")).where("k < 20"), table(s, d, "supplier").select(F.col("s_nationkey").alias("k")).where("k > 5")
+
+
+SETS = "SELECT c_nationkey AS k FROM customer WHERE c_nationkey < 20 {} SELECT s_nationkey FROM supplier WHERE s_nationkey > 5"
+add("set_intersect", SETS.format("INTERSECT"))(lambda s, d: lookup.intersection(*_ids(s, d)))
+add("set_union", SETS.format("UNION"))(lambda s, d: lookup.union(*_ids(s, d)))
+add("set_except", SETS.format("EXCEPT"))(lambda s, d: lookup.difference(*_ids(s, d)))
+add("set_xor", "(" + SETS.format("EXCEPT") + ") UNION (SELECT s_nationkey FROM supplier WHERE s_nationkey > 5 EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 20)")(lambda s, d: lookup.symmetric_difference(*_ids(s, d)))
+add("set_bag_union", SETS.format("UNION ALL"))(lambda s, d: lookup.bag_union(*_ids(s, d)))
+add("set_bag_except", SETS.format("EXCEPT ALL"))(lambda s, d: lookup.bag_difference(*_ids(s, d)))
+add("proj_distinct", "SELECT DISTINCT nullif(o_orderpriority, '5-LOW') AS p FROM orders WHERE nullif(o_orderpriority, '5-LOW') IS NOT NULL")(lambda s, d: lookup.projection(table(s, d, "orders").select(F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p")), "p"))
+add("proj_join", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")(lambda s, d: lookup.intersection(*[lookup.projection(table(s, d, "orders").where(F.col("o_orderstatus") == x), "o_custkey") for x in "FP"]))
+add("join_junction", "SELECT s_name, p_name, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_acctbal > 5000 AND p_size < 3")(lambda s, d: table(s, d, "lineitem").join(table(s, d, "supplier").where("s_acctbal > 5000"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(s, d, "part").where("p_size < 3"), F.col("l_partkey") == F.col("p_partkey")).select("s_name", "p_name", "l_quantity"))
+
+
+@add("patricia_best_match", "WITH p AS (SELECT DISTINCT substr(p_name, 1, n) AS prefix, n FROM part, (VALUES (1), (2), (3), (5)) v(n) WHERE p_partkey % 7 = 0) SELECT p_name, arg_max(prefix, length(prefix)) AS matched, max(n)::INT AS value FROM (SELECT DISTINCT p_name FROM part) LEFT JOIN p ON starts_with(p_name, prefix) GROUP BY p_name")
+def patricia_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    prefixes = part.where("p_partkey % 7 = 0").select(F.explode(F.array(*map(F.lit, (1, 2, 3, 5)))).alias("n"), "p_name")
+    prefixes = prefixes.select(F.expr("substring(p_name, 1, n)").alias("prefix"), F.col("n").alias("value")).distinct()
+    return lookup.longest_prefix(part.select("p_name"), "p_name", prefixes, "prefix", "value")
+
+
+@add("insert_unique", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 20, 'NEW' FROM nation WHERE n_nationkey + 20 > 24")
+def insert_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return lookup.insert(n, n.select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.lit("NEW").alias("n_name")), "n_nationkey")
+
+
+@add("update_delete", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'X' ELSE n_name END AS n_name FROM nation WHERE n_nationkey < 20")
+def update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    new = lookup.replace(n, n.where("n_nationkey < 5").withColumn("n_name", F.lit("X")), "n_nationkey")
+    return lookup.remove(new, n.where("n_nationkey >= 20"), "n_nationkey")
+
+
+@add("append_numbered", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT (SELECT max(r_regionkey) FROM region) + row_number() OVER (ORDER BY r_name), 'N' || r_name FROM region")
+def append_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
+    return lookup.append_numbered(r, r.withColumn("r_name", F.concat(F.lit("N"), "r_name")), "r_regionkey", "r_name")
+
+
+# spatial: customers as points (balance, key), parts as boxes
+
+add("spatial_overlap", "SELECT p_partkey FROM part WHERE p_size <= 30 AND p_size + 5 >= 20 AND p_retailprice <= 1500 AND p_retailprice + 100 >= 1050")(lambda s, d: table(s, d, "part").where(_boxes().intersects(spatial.Box.of((20, 30), (1050, 1500)))).select("p_partkey"))
+add("spatial_contains", "SELECT p_partkey FROM part WHERE p_size >= 20 AND p_size + 5 <= 40 AND p_retailprice >= 920 AND p_retailprice + 100 <= 1050")(lambda s, d: table(s, d, "part").where(spatial.Box.of((20, 40), (920, 1050)).contains(_boxes())).select("p_partkey"))
+add("spatial_mbr", "SELECT CAST(min(p_size) AS INT) AS low0, CAST(max(p_size + 5) AS INT) AS high0, min(p_retailprice) AS low1, max(p_retailprice + 100) AS high1 FROM part")(lambda s, d: spatial.wrapping(table(s, d, "part"), _boxes()))
+add("spatial_knn", "SELECT p_partkey, round(distance, 9) AS distance FROM (SELECT p_partkey, sqrt(pow(greatest(0, p_size - 25, 25 - (p_size + 5)), 2) + pow(greatest(0, p_retailprice - 1300, 1300 - (p_retailprice + 100)), 2)) AS distance FROM part ORDER BY distance, p_partkey LIMIT 20)")(lambda s, d: spatial.nearest(table(s, d, "part"), _boxes(), (25, 1300), 20, "p_partkey").select("p_partkey", F.round("distance", 9).alias("distance")))
+add("spatial_area", "SELECT p_partkey, 5.0::DOUBLE * 100 AS area, round((greatest(p_size + 5, 30) - least(p_size, 20)) * (greatest(p_retailprice + 100, 1500) - least(p_retailprice, 1050)), 6) AS joined FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.round(_boxes().area(), 6).alias("area"), F.round(_boxes().join_area(spatial.Box.of((20, 30), (1050, 1500))), 6).alias("joined")))
+add("spatial_knn_nd", "SELECT vec_id, round(distance, 6) AS distance FROM (SELECT e.vec_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE, 2)))) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, vec_id LIMIT 10)")(lambda s, d: table(s, d, "embeddings").crossJoin(F.broadcast(table(s, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))).withColumn("distance", spatial.euclidean(F.col("embedding"), F.col("q"))).orderBy("distance", "vec_id").limit(10).select("vec_id", F.round("distance", 6).alias("distance")))
+add("spatial_bits_knn", "SELECT p_partkey FROM part WHERE p_type = 'PROMO' ORDER BY sqrt(pow(p_size - 25, 2) + pow(p_retailprice - 1300, 2)), p_partkey LIMIT 10")(lambda s, d: spatial.nearest(lookup.keep_ids(table(s, d, "part"), table(s, d, "part").where("p_type = 'PROMO'"), "p_partkey"), spatial.Box.of(("p_size", "p_size"), ("p_retailprice", "p_retailprice")), (25, 1300), 10, "p_partkey").select("p_partkey"))
+add("sphere_distance", "SELECT c_custkey, round(2 * asin(least(1.0, sqrt(pow(sin((0.3 - dec) / 2), 2) + cos(dec) * cos(0.3) * pow(sin((1.0 - ra) / 2), 2)))), 8) AS distance FROM (SELECT c_custkey, (c_custkey % 628) / 100.0::DOUBLE AS ra, c_acctbal / 10000.0::DOUBLE AS dec FROM customer)")(lambda s, d: _sky(s, d).select("c_custkey", F.round(spatial.great_circle(F.col("ra"), F.col("dec"), F.lit(1.0), F.lit(0.3)), 8).alias("distance")))
+add("sphere_box", "SELECT c_custkey FROM (SELECT c_custkey, (c_custkey % 628) / 100.0::DOUBLE AS ra, c_acctbal / 10000.0::DOUBLE AS dec FROM customer) WHERE (ra >= 6.0 OR ra <= 0.5) AND dec BETWEEN 0.1 AND 0.5")(lambda s, d: _sky(s, d).where(spatial.in_sky_box(F.col("ra"), F.col("dec"), (6.0, 0.1), (0.5, 0.5))).select("c_custkey"))
+add("sphere_circle", "SELECT c_custkey FROM (SELECT c_custkey, (c_custkey % 628) / 100.0::DOUBLE AS ra, c_acctbal / 10000.0::DOUBLE AS dec FROM customer) WHERE 2 * asin(least(1.0, sqrt(pow(sin((0.3 - dec) / 2), 2) + cos(dec) * cos(0.3) * pow(sin((1.0 - ra) / 2), 2)))) <= 0.5")(lambda s, d: _sky(s, d).where(spatial.in_circle(F.col("ra"), F.col("dec"), (1.0, 0.3), 0.5)).select("c_custkey"))
+
+
+def _boxes() -> spatial.Box:
+    return spatial.Box.of(("p_size", F.col("p_size") + 5), ("p_retailprice", F.col("p_retailprice") + 100))
+
+
+def _sky(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select("c_custkey", ((F.col("c_custkey") % 628) / 100.0).alias("ra"), (F.col("c_acctbal") / 10000.0).alias("dec"))
+
+
+@add("spatial_overlap_join", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE a.p_partkey < b.p_partkey AND a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1 AND a.p_size <= b.p_size + 5 AND a.p_size + 5 >= b.p_size AND a.p_retailprice <= b.p_retailprice + 100 AND a.p_retailprice + 100 >= b.p_retailprice")
+def spatial_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(n: str, rest: int) -> tuple[DataFrame, spatial.Box]:
+        df = table(spark, sf_dir, "part").where(F.col("p_partkey") % 10 == rest)
+        df = df.select(F.col("p_partkey").alias(n), (F.col("p_size") * 20).alias(f"{n}x"), F.col("p_retailprice").alias(f"{n}y"))
+        return df, spatial.Box.of((f"{n}x", F.col(f"{n}x") + 100), (f"{n}y", F.col(f"{n}y") + 100))
+
+    (a, abox), (b, bbox) = side("a", 0), side("b", 1)
+    return spatial.overlap_join(a, abox, b, bbox, 200.0).where("a < b").select("a", "b")
+
+
+# time series and versions
+
+T1, T2 = "2024-01-05 00:00:00", "2024-01-12 00:00:00"
+
+
+def _ts(x: str):
+    return F.lit(x).cast("timestamp_ntz")
+
+
+add("ts_range", f"SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{T1}' AND TIMESTAMP '{T2}'")(lambda s, d: timeseries.ticks(table(s, d, "events"), "ts", _ts(T1), _ts(T2)).select("event_id", "ts"))
+add("ts_first_last", "SELECT min(ts) AS first_time, max(ts) AS last_time, count(*) AS n FROM events")(lambda s, d: timeseries.extent(table(s, d, "events"), "ts"))
+add("ts_tick", "SELECT event_id FROM events WHERE ts = (SELECT min(ts) FROM events)")(lambda s, d: table(s, d, "events").join(F.broadcast(timeseries.extent(table(s, d, "events"), "ts")), F.col("ts") == F.col("first_time"), "left_semi").select("event_id"))
+add("ts_day_dev", "SELECT date_trunc('day', ts)::TIMESTAMP AS period, round(stddev_pop(value), 6) AS dev, count(*) AS n FROM events GROUP BY 1")(lambda s, d: timeseries.by_period(table(s, d, "events"), "ts", "day", F.round(A.deviation("value"), 6).alias("dev"), A.count().alias("n")).withColumn("period", F.col("period").cast("timestamp_ntz")))
+add("ts_remove_count", f"SELECT count(*) AS removed FROM events WHERE ts BETWEEN TIMESTAMP '{T1}' AND TIMESTAMP '{T2}'")(lambda s, d: timeseries.remove(table(s, d, "events"), "ts", _ts(T1), _ts(T2))[1])
+add("ts_remove_rest", f"SELECT event_id FROM events WHERE NOT ts BETWEEN TIMESTAMP '{T1}' AND TIMESTAMP '{T2}'")(lambda s, d: timeseries.remove(table(s, d, "events"), "ts", _ts(T1), _ts(T2))[0].select("event_id"))
+add("ts_blocks", "SELECT user_id, block, count(*) AS n FROM (SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // 16 AS BIGINT) AS block FROM events) GROUP BY ALL")(lambda s, d: timeseries.blocks(table(s, d, "events"), "ts", 16, ["user_id"]).groupBy("user_id", "block").agg(A.count().alias("n")))
+add("as_of_join", "SELECT a.event_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts")(lambda s, d: timeseries.as_of(table(s, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts"), table(s, d, "events").where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("last_value")), ["user_id"], "ts", "ts", ["last_value"]).select("event_id", "last_value"))
+V = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate {0}, o_orderkey {0}) AS rn FROM orders {1}"
+
+
+def _history(s: SparkSession, d: str) -> History:
+    return History(table(s, d, "orders").withColumn("gone", F.col("o_orderstatus") == "P"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", "gone")
+
+
+AT = "1997-06-01 00:00:00"
+add("ver_current", f"SELECT o_custkey, o_orderkey FROM ({V.format('DESC', '')}) WHERE rn = 1 AND o_orderstatus <> 'P'")(lambda s, d: _history(s, d).current().select("o_custkey", "o_orderkey"))
+add("ver_all", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P'")(lambda s, d: _history(s, d).all().select("o_custkey", "o_orderkey"))
+add("ver_slice", f"SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '{AT}' AND o_orderstatus <> 'P'")(lambda s, d: _history(s, d).time_slice(_ts("1996-01-01 00:00:00"), _ts(AT)).select("o_custkey", "o_orderkey"))
+add("ver_latest_before", f"SELECT o_custkey, o_orderkey FROM ({V.format('DESC', f"WHERE o_orderdate <= TIMESTAMP '{AT}'")}) WHERE rn = 1")(lambda s, d: _history(s, d).latest_before(_ts(AT)).select("o_custkey", "o_orderkey"))
+add("ver_earliest_after", f"SELECT o_custkey, o_orderkey FROM ({V.format('ASC', f"WHERE o_orderdate >= TIMESTAMP '{AT}'")}) WHERE rn = 1")(lambda s, d: _history(s, d).earliest_after(_ts(AT)).select("o_custkey", "o_orderkey"))
+add("ver_find", f"SELECT o_custkey, o_orderkey FROM ({V.format('DESC', '')}) WHERE rn = 1 AND o_orderstatus <> 'P' AND o_totalprice > 3000")(lambda s, d: _history(s, d).current().where("o_totalprice > 3000").select("o_custkey", "o_orderkey"))
+
+
+# full text
+
+TOKENS = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS word FROM documents), p AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word NOT IN ('a', 'the', 'at', 'on', 'of', 'to', 'an') AND length(word) <= 100 GROUP BY ALL) "
+
+
+def _index(s: SparkSession, d: str) -> fulltext.Index:
+    return fulltext.Index(table(s, d, "documents"), "doc_id", "text")
+
+
+def text_query(name: str, query: str, where: str) -> None:
+    QUERIES[name] = lambda s, d: _index(s, d).match(fulltext.parse(query)).select(F.col("doc").alias("doc_id"))
+    ORACLE_SQL[name] = TOKENS + f"SELECT doc_id FROM documents d WHERE {where}"
+
+
+def _in(word: str) -> str:
+    return f"doc_id IN (SELECT doc_id FROM p WHERE word = '{word}')"
+
+
+text_query("ft_match", "license", _in("license"))
+text_query("ft_and", "license AND the version", f"{_in('license')} AND {_in('version')}")
+text_query("ft_or", "idiot OR clown", f"{_in('idiot')} OR {_in('clown')}")
+text_query("ft_not", "license NOT version", f"{_in('license')} AND NOT {_in('version')}")
+text_query("ft_precedence", "license AND version OR public", f"{_in('license')} AND ({_in('version')} OR {_in('public')})")
+text_query("ft_phrase", '"general public license"', "regexp_matches(lower(text), '(^|[^\\p{L}\\p{Nd}])general[^\\p{L}\\p{Nd}]{1,2}public[^\\p{L}\\p{Nd}]{1,2}license($|[^\\p{L}\\p{Nd}])')")
+add("ft_prefix", TOKENS + "SELECT DISTINCT doc_id FROM p WHERE starts_with(word, 'licens')")(lambda s, d: _index(s, d).prefix("licens").select(F.col("doc").alias("doc_id")))
+add("ft_keywords", TOKENS + "SELECT word, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS documents FROM p WHERE starts_with(word, 'wor') GROUP BY word")(lambda s, d: _index(s, d).keywords("wor"))
+add("ft_counts", TOKENS + "SELECT count(DISTINCT word) AS words, (SELECT count(*) FROM documents) AS documents FROM p")(lambda s, d: _index(s, d).counts())
+RANK = TOKENS + ", n AS (SELECT doc_id, sum(tf) AS n_words FROM p GROUP BY doc_id), s AS (SELECT p.*, n_words, (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT word) FROM p) / (SELECT count(*) FROM documents) AS avg_words, (SELECT count(*) FROM p q WHERE q.word = p.word) AS df FROM p JOIN n USING (doc_id) WHERE word IN ('license', 'version')) "
+add("ft_rank", RANK + "SELECT doc_id, round(ln(1 + tf * ln(1 + 2 * avg_words / n_words) * ln(docs / df)), 6) AS rank FROM s WHERE word = 'license' ORDER BY rank DESC, doc_id LIMIT 20")(lambda s, d: _index(s, d).search("license", 20).select(F.col("doc").alias("doc_id"), F.round("rank", 6).alias("rank")))
+add("ft_rank_and", RANK + "SELECT doc_id, round(sum(ln(1 + tf * ln(1 + 2 * avg_words / n_words) * ln(docs / df))), 6) AS rank FROM s GROUP BY doc_id HAVING count(*) = 2")(lambda s, d: _index(s, d).search("license version", nearness=False).select(F.col("doc").alias("doc_id"), F.round("rank", 6).alias("rank")))
+add("ft_rank_near")(lambda s, d: _index(s, d).search('"general public license"', 20).select(F.col("doc").alias("doc_id"), "rank"))
+
+
+# associative data and triples
+
+EAV_ITEMS = "SELECT 'customer:' || c_custkey AS item FROM customer c JOIN nation n ON c_nationkey = n_nationkey"
+
+
+def _eav(s: SparkSession, d: str) -> DataFrame:
+    c = assoc.from_table(table(s, d, "customer"), "customer", "c_custkey", ["c_name", "c_mktsegment"], ["c_acctbal"], {"nation": ("c_nationkey", "nation")})
+    n = assoc.from_table(table(s, d, "nation"), "nation", "n_nationkey", ["n_name"], [], {"region": ("n_regionkey", "region")})
+    return c.unionByName(n).unionByName(assoc.from_table(table(s, d, "region"), "region", "r_regionkey", ["r_name"]))
+
+
+add("eav_compare", EAV_ITEMS + " WHERE c_acctbal >= 5000 AND lower(c_mktsegment) = 'building'")(lambda s, d: (lambda e: assoc.both(assoc.compare(e, "c_acctbal", ">=", 5000), assoc.compare(e, "c_mktsegment", "=", "Building")))(_eav(s, d)))
+add("eav_between_or", EAV_ITEMS + " WHERE c_acctbal BETWEEN 0 AND 100 OR lower(c_mktsegment) IN ('machinery', 'furniture')")(lambda s, d: (lambda e: assoc.either(assoc.between(e, "c_acctbal", 0, 100), assoc.in_array(e, "c_mktsegment", ["MACHINERY", "furniture"])))(_eav(s, d)))
+add("eav_startswith", "SELECT 'nation:' || n_nationkey AS item FROM nation WHERE starts_with(lower(n_name), 'nation_1')")(lambda s, d: assoc.starts_with(_eav(s, d), "n_name", "NATION_1"))
+add("eav_prefix_of", "SELECT 'nation:' || n_nationkey AS item FROM nation WHERE starts_with('nation_12x', lower(n_name))")(lambda s, d: assoc.is_prefix_of(_eav(s, d), "n_name", "Nation_12x"))
+add("eav_in_subquery", EAV_ITEMS + " JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")(lambda s, d: (lambda e: assoc.related(e, "nation", assoc.related(e, "region", assoc.compare(e, "r_name", "=", "asia"))))(_eav(s, d)))
+add("eav_inverse", "SELECT DISTINCT 'nation:' || c_nationkey AS item FROM customer WHERE c_acctbal > 9500")(lambda s, d: (lambda e: assoc.related(e, "-nation", assoc.compare(e, "c_acctbal", ">", 9500)))(_eav(s, d)))
+add("eav_verbs", "SELECT unnest(['class', 'c_name', 'c_mktsegment', 'c_acctbal', 'nation', 'n_name', 'region', 'r_name']) AS attr")(lambda s, d: assoc.verbs(_eav(s, d)))
+add("eav_occurrences", "SELECT 'region:' || r_regionkey AS item, r_name AS text FROM region")(lambda s, d: assoc.occurrences(_eav(s, d), "r_name").select("item", "text"))
+
+
+def _things(s: SparkSession, d: str) -> DataFrame:
+    """Parts as things with two versions, suppliers with one, related through their keys."""
+    p = table(s, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("uri"), F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), "*")
+    ts = F.when(F.col("version") == 1, _ts("2020-01-01 00:00:00")).otherwise(_ts("2022-01-01 00:00:00"))
+    null = F.lit(None)
+    props = [F.struct(F.lit("name").alias("prop"), F.col("p_name").alias("value"), null.cast("double").alias("number"), null.cast("string").alias("ref")), F.struct(F.lit("price").alias("prop"), null.cast("string").alias("value"), (F.col("p_retailprice") * F.col("version")).alias("number"), null.cast("string").alias("ref")), F.struct(F.lit("maker").alias("prop"), null.cast("string").alias("value"), null.cast("double").alias("number"), F.concat(F.lit("supplier/"), (F.col("p_partkey") % 10 + 1).cast("string")).alias("ref"))]
+    p = p.select("uri", "version", ts.alias("ts"), F.concat(F.lit("part."), F.lower("p_type")).alias("type"), F.explode(F.array(*props)).alias("x")).select("uri", "version", "ts", "type", "x.*")
+    u = table(s, d, "supplier").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("uri"), F.lit(1).alias("version"), _ts("2020-01-01 00:00:00").alias("ts"), F.lit("supplier").alias("type"), F.lit("name").alias("prop"), F.col("s_name").alias("value"), null.cast("double").alias("number"), null.cast("string").alias("ref"))
+    return p.unionByName(u)
+
+
+add("rdf_latest_before", "SELECT 'part/' || p_partkey AS uri, 1 AS version FROM part WHERE p_retailprice BETWEEN 930 AND 960")(lambda s, d: rdf.search(_things(s, d), properties={"price": (930, 960)}, kind=rdf.LATEST_BEFORE, ts=_ts("2021-01-01 00:00:00")))
+add("rdf_oldest_after", "SELECT 'part/' || p_partkey AS uri, 2 AS version FROM part WHERE p_retailprice * 2 >= 1900 AND p_retailprice * 2 < 1950")(lambda s, d: rdf.search(_things(s, d), properties={"price": (1900, 1950, True, False)}, kind=rdf.OLDEST_AFTER, ts=_ts("2021-01-01 00:00:00")))
+add("rdf_wildcard", "SELECT 'part/' || p_partkey AS uri, 2 AS version FROM part WHERE p_name LIKE '%a%e%' AND 'part/' || p_partkey LIKE 'part/1%'")(lambda s, d: rdf.search(_things(s, d), uri="part/1*", properties={"name": "*a*e*"}))
+add("rdf_reference", "SELECT 'part/' || p_partkey AS uri, 2 AS version FROM part WHERE p_partkey % 10 + 1 IN (SELECT s_suppkey FROM supplier WHERE s_name LIKE '%3')")(lambda s, d: rdf.search(_things(s, d), properties={"maker": {"name": "*3"}}))
+add("rdf_subtype", "SELECT 'part/' || p_partkey AS uri, 2 AS version FROM part")(lambda s, d: rdf.search(_things(s, d), "thing", uri="part/*", types=_things(s, d).select("type").where("type like 'part.%'").distinct().select("type", F.lit("part").alias("parent")).unionAll(s.createDataFrame([("part", "thing"), ("supplier", "other")], "type string, parent string"))))
+add("rdf_keyword", "SELECT 'part/' || p_partkey AS uri, v AS version FROM part, (VALUES (1), (2)) t(v) WHERE regexp_matches(lower(p_name), '(^| )' || (SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey = 1) || '( |$)')")(lambda s, d: rdf.keywords(_things(s, d), table(s, d, "part").where("p_partkey = 1").first()["p_name"].split(" ")[0]))
+add("rdf_dump", "SELECT count(*) AS n, CAST(max(depth) AS INT) AS depth FROM (SELECT 0 AS depth FROM range(6) UNION ALL SELECT 1)")(lambda s, d: rdf.dump(_things(s, d), s.createDataFrame([("part/1",)], "uri string"), 3).agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth")))
+
+
+# collections and maps
+
+add("list_ops", "SELECT vec_id, embedding[1] AS head, len(embedding[3:5]) AS part, CAST(list_position(embedding, embedding[4]) - 1 AS INT) AS place FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", C.list_get(F.col("embedding"), 0).alias("head"), F.size(C.list_sub(F.col("embedding"), 2, 5)).cast("long").alias("part"), C.list_index(F.col("embedding"), F.get("embedding", F.lit(3))).alias("place")))
+add("map_ops", "SELECT o_custkey, count(*) FILTER (WHERE o_orderkey >= 100 AND o_orderkey < 5000) AS inside, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY o_custkey")(lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("m")).select("o_custkey", F.size(C.sub_map(F.col("m"), 100, 5000)).cast("long").alias("inside"), C.first_key(F.col("m")).alias("first_key"), C.last_key(F.col("m")).alias("last_key")))
+add("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+
+
+# windows over events, as a table
+
+add("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: streams.tumbling(table(s, d, "events"), "ts", "1 hour", ["event_type"], A.count().alias("n")))
+add("stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '2 hours' AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")(lambda s, d: streams.sessions(table(s, d, "events"), "ts", "2 hours", ["user_id"], A.count().alias("n")))
