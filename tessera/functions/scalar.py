@@ -29,7 +29,7 @@ def int_div(a: Column, b: Column) -> Column:
 
 def real_div(a: Column, b: Column) -> Column:
     """IEEE division: by zero an infinity, or NaN for zero by zero."""
-    return F.when(b != 0, a / F.when(b != 0, b)).when(a > 0, real("inf")).when(a < 0, real("-inf")).when(a.isNotNull() & b.isNotNull(), real("nan"))
+    return F.when(b != 0, a / F.when(b != 0, b)).when(F.isnan(a), real("nan")).when(a > 0, real("inf")).when(a < 0, real("-inf")).when(a.isNotNull() & b.isNotNull(), real("nan"))
 
 
 def int_pow(a: Column, b: Column) -> Column:

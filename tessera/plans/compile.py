@@ -261,6 +261,10 @@ class Compiler:
     def text(self, v: Value) -> Column:
         return F.coalesce(v.col, F.lit("")) if v.literal is None else v.col
 
+    def known(self, x: Value, test: Column) -> Column:
+        """A test that '' fails, on the raw column: false for null, and fit for the scan to push down."""
+        return test & x.col.isNotNull()
+
     def logic(self, node: Node) -> Value:
         k, a = node.kind, node.args
         if k in ("and", "or"):
@@ -292,7 +296,8 @@ class Compiler:
         if k == "inlist":
             x, values = self.value(a[0]), [self.value(n) for n in a[1]]
             if all(v.literal is not None for v in values) and x.type in ("int", "real", "str") and not x.ci and {v.type for v in values} == {x.type}:
-                return Value((self.text(x) if x.type == "str" else x.col).isin([v.literal for v in values]), "bool")
+                test = x.col.isin([v.literal for v in values])
+                return Value(test if x.type != "str" else self.known(x, test) if all(v.literal for v in values) else self.text(x).isin([v.literal for v in values]), "bool")
             out = F.lit(False)
             for v in values:
                 out = out | self.compare("=", x, v, node.at)
@@ -318,6 +323,8 @@ class Compiler:
             x, y = (replace(v, col=v.col.cast("double"), type="real") for v in (x, y))
         elif types == {"str"}:
             ci = x.ci or y.ci
+            if not ci and x.literal is None and y.literal and op in ("=", ">", ">="):
+                return self.known(x, {"=": x.col == y.col, ">": x.col > y.col, ">=": x.col >= y.col}[op])
             x, y = (Value(F.lower(self.text(v)) if ci else self.text(v), "str") for v in (x, y))
         elif "obj" in types or "null" in types:
             if op not in ("=", "<>"):
@@ -346,13 +353,14 @@ class Compiler:
             return Value(F.like(a, b, self.value(escape).col), "bool")
         if p.literal is not None:
             text = p.literal.lower() if x.ci else p.literal
+            if not x.ci and x.literal is None and text.strip("%"):
+                return Value(self.known(x, x.col.like(text.replace("\\", "\\\\"))), "bool")
             return Value(a.like(text.replace("\\", "\\\\")), "bool")
         return Value(F.like(a, F.replace(b, F.lit("\\"), F.lit("\\\\"))), "bool")
 
     def within(self, x: Value, y: Value, at: int) -> Value:
         if y.type == "list":
-            values = [None if v is None else v for v in y.literal]
-            return Value((self.text(x) if x.type == "str" else x.col).isin(values), "bool")
+            return Value(self.known(x, x.col.isin(y.literal)) if x.type == "str" and all(y.literal) else (self.text(x) if x.type == "str" else x.col).isin(y.literal), "bool")
         if y.type == "array":
             return Value(F.array_contains(y.col, x.col.cast(y.spark.elementType)), "bool")
         if x.type == y.type == "str":
