@@ -42,7 +42,7 @@ from tessera.llm.graph import components
 #: Words of a shingle, percent of a link, frequent shingles that the order knows and what makes them so.
 WORDS, SIMILAR, MAX_FREQUENT, FREQUENT = 5, 80, 1 << 16, 8
 #: Entries of a block, and pairs held at once within one.
-BLOCK, PAIRS = 1_000_000, 4_000_000
+BLOCK, PAIRS = 400_000, 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,7 +113,7 @@ def frequent(made: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             for raw in batch.column(0).to_pylist():
                 held.append(raw)
                 size += len(raw)
-                if size > 64_000_000:
+                if size > 16_000_000:
                     yield out(held)
                     held, size = [], 0
         if size:
@@ -138,7 +138,7 @@ def columns(made: DataFrame, total: int) -> DataFrame:
     """The kept columns' entries: shingle, set, n, first (the column's least set), first_n; only columns with two sets or more."""
     keys, counts = frequent(made, total)
     shared = made.sparkSession.sparkContext.broadcast((keys, counts))  # at most MAX_FREQUENT of each
-    blocks = max(8, total // (4 * BLOCK))
+    blocks = max(8, total // (5 * BLOCK))
 
     def prefix(s: np.ndarray) -> np.ndarray:
         k = prefix_length(len(s))
@@ -223,10 +223,13 @@ BITS = 1 << 24
 def linked(pairs: DataFrame, made: DataFrame) -> DataFrame:
     """Those of the pairs (a, b: sets) whose exact overlap makes a link."""
     pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    where = F.pmod(F.xxhash64("set"), F.lit(BITS))
-    # a bitmap of BITS bits (2 MB at most) tells which sets are needed, so that the others aren't moved
-    bitmap = ends.groupBy(F.bitmap_bucket_number(where).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(where)).alias("bits")).toPandas()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    # of each needed set the document with the least hash stands for it; a bitmap of BITS bits (2 MB at most)
+    # tells which, so that other documents' sets aren't moved
+    where = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    first = made.where("n > 0").select("set", where.alias("at")).groupBy("set").agg(F.min("at").alias("at"))
+    chosen = first.join(ends, F.col("set") == F.col("end"), "left_semi")
+    bitmap = chosen.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toPandas()
     held = made.sparkSession.sparkContext.broadcast({int(k): bytes(b) for k, b in zip(bitmap["k"], bitmap["bits"], strict=True)})
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +240,8 @@ def linked(pairs: DataFrame, made: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit, pa.bool_())) for i in (0, 1)], ["set", "shingles"])
 
     keyed = made.where("n > 0").select("set", "shingles", F.bitmap_bucket_number(where).alias("k"), F.bitmap_bit_position(where).alias("p"))
-    one = keyed.mapInArrow(needed, "set long, shingles binary").groupBy("set").agg(F.first("shingles").alias("shingles"))
-    one = materialize(one, "needed")
+    # documents that share a bit may come along: their sets are in no pair, or give a link twice
+    one = materialize(keyed.mapInArrow(needed, "set long, shingles binary"), "needed")
     a, b = one.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), one.select(F.col("set").alias("b"), F.col("shingles").alias("sb"))
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,7 @@ def rest(entries: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = entries.drop("first", "first_n").join(known, "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
     active = materialize(rooted.join(mixed, "shingle", "left_semi"), "active")
-    blocks = 1 + active.count() // (BLOCK // 4)
+    blocks = 1 + active.count() // (BLOCK // 2)
     own = F.pmod(F.xxhash64("set"), F.lit(blocks)).cast("int")
     touched = active.select("shingle", own.alias("block")).distinct()
     dealt = active.withColumn("own", own).join(touched, "shingle")
