@@ -170,8 +170,10 @@ def redact_all(df: DataFrame, text: str = "text") -> DataFrame:
         added = [(s, e, "random") for s, e, c, x in tested if x >= limits.get(c, math.inf) and not any(a < e and s < b for a, b, _ in plain)]
         return (cut(t, sorted(plain + added)),)
 
-    made = from_text(df, text, df.columns, compute, T.StructType([T.StructField("_cut", T.StringType())]))
-    return made.select(*[F.when(F.col(f"`{c}`").isNull(), None).otherwise(F.col("_cut")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
+    made = from_text(rows, "text", ["row"], compute, T.StructType([T.StructField("cut", T.StringType())]))
+    kept = F.col(f"row.`{text}`")
+    return made.select(*[F.when(kept.isNotNull(), F.col("cut")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def joined(spans: str) -> Column:
