@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, itq, licenses, mixing, ngram_join, quality, secret_scan, toxicity
+from tessera.llm import bpe, chat, itq, licenses, mixing, ngram_join, pii, quality, secret_scan, toxicity
 from tessera.llm.common import materialize, n_words, table
 
 
@@ -53,6 +53,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text under pseudonyms; the key is a secret of the deployment, from TESSERA_PII_KEY."""
+    key = os.environ.get("TESSERA_PII_KEY", "tessera").encode()
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     mixed = mixing.mix(materialize(docs, "docs"))  # sizes are read often, so counted once
@@ -95,5 +101,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op4_ngram_join": op4_ngram_join, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_itq": op9_itq, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op4_ngram_join": op4_ngram_join, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_itq": op9_itq, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
