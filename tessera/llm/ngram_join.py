@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import ARROW_ROWS, CLEANUP, materialize, settings
 from tessera.llm.graph import components
 
 #: Words of a shingle, percent of a link, frequent shingles that the order knows and what makes them so.
@@ -301,15 +301,17 @@ def rest(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of df."""
-    made = materialize(sets(df, doc_id, text), "sets")
-    total = int(made.agg(F.sum("n")).first()[0] or 0)
-    entries = materialize(columns(made, total), "columns")
-    stars = entries.where("first <> set").where(sizes_fit("first_n", "n")).select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
-    links = linked(bounded(stars, entries), made)
-    roots = materialize(components(links), "roots")
-    more = linked(rest(entries, roots), made)
-    if not more.isEmpty():
-        roots = materialize(components(links.unionByName(more)), "roots")
+    # sets are some KB each: small batches, and no shuffle files of steps that have ended
+    with settings(df.sparkSession, {ARROW_ROWS: "1000", CLEANUP: "true"}):
+        made = materialize(sets(df, doc_id, text), "sets")
+        total = int(made.agg(F.sum("n")).first()[0] or 0)
+        entries = materialize(columns(made, total), "columns")
+        stars = entries.where("first <> set").where(sizes_fit("first_n", "n")).select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
+        links = linked(bounded(stars, entries), made)
+        roots = materialize(components(links), "roots")
+        more = linked(rest(entries, roots), made)
+        if not more.isEmpty():
+            roots = materialize(components(links.unionByName(more)), "roots")
     docs = made.select("doc_id", "n", "set").join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
     least = docs.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = docs.join(least, "root", "left")
