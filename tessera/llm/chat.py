@@ -73,19 +73,20 @@ def best_paths(messages: DataFrame, tree: str, node: str, parent: str, score: st
     rows = materialize(rows, "tree")
     known = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     up = rows.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("up"), "score")
-    levels = [materialize(up, "up0")]
-    while len(levels) < LEVELS and not levels[-1].where("up is not null").isEmpty():
-        last = levels[-1]
-        a, b = last.alias("a"), last.alias("b")
+    state, levels = materialize(up, "up0"), []
+    while len(levels) < LEVELS and not (active := state.where("up is not null")).isEmpty():
+        levels.append(active)
+        a, b = active.alias("a"), state.alias("b")  # pointers past a root stay as they are
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
-        levels.append(materialize(a.join(b, on, "left").select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score")), f"up{len(levels)}"))
+        further = a.join(b, on).select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.score") + F.col("b.score")).alias("score"))
+        state = materialize(state.where("up is null").unionByName(further), f"up{len(levels)}")
     inner = rows.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    leaves = levels[-1].where("up is null").join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    leaves = state.where("up is null").join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.select("tree", F.col("node").alias("leaf"), rank.alias("path_rank"), F.col("score").alias("path_score")).where(F.col("path_rank") <= branches)
     found = chosen.select("*", F.lit(0).cast("long").alias("up"), F.col("leaf").alias("node"))
-    for k in range(len(levels) - 2, -1, -1):
-        step = levels[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = levels[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
         more = found.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
         found = materialize(found.unionByName(more.select("tree", "leaf", "path_rank", "path_score", (F.col("up") + (1 << k)).alias("up"), F.col("above").alias("node"))), f"path{k}")
     return found
