@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, itq, licenses, mixing, ngram_join, pii, quality, secret_scan, toxicity
 from tessera.llm.common import materialize, n_words, table
+from tessera.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -102,4 +103,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_licenses": op2_licenses, "op3_secrets": op3_secrets, "op4_ngram_join": op4_ngram_join, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_itq": op9_itq, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
