@@ -42,7 +42,7 @@ from tessera.llm.graph import components
 #: Words of a shingle, percent of a link, frequent shingles that the order knows and what makes them so.
 WORDS, SIMILAR, MAX_FREQUENT, FREQUENT = 5, 80, 1 << 16, 8
 #: Entries of a block, and pairs held at once within one.
-BLOCK, PAIRS = 400_000, 1_000_000
+BLOCK, PAIRS = 400_000, 250_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -259,24 +259,28 @@ def linked(pairs: DataFrame, made: DataFrame) -> DataFrame:
 def rest(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different components so far that the summed overlap counts can't rule out."""
     known = roots.withColumnRenamed("node", "set")
-    rooted = entries.drop("first", "first_n").join(known, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = entries.drop("first_n").join(known, "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
     active = materialize(rooted.join(mixed, "shingle", "left_semi"), "active")
-    blocks = 1 + active.count() // (BLOCK // 2)
-    own = F.pmod(F.xxhash64("set"), F.lit(blocks)).cast("int")
-    touched = active.select("shingle", own.alias("block")).distinct()
-    dealt = active.withColumn("own", own).join(touched, "shingle")
+    blocks = 1 + active.count() // (BLOCK // 8)
+    # sets that share their columns get the same block, by the least set in any of them: few columns meet several blocks
+    own = F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int").alias("own")
+    owner = active.groupBy(F.col("set").alias("s")).agg(F.min("first").alias("at")).select("s", own)
+    active = materialize(active.drop("first").join(owner, F.col("set") == F.col("s")).drop("s"), "active")
+    touched = active.select("shingle", F.col("own").alias("block")).distinct()
+    dealt = active.join(touched, "shingle")
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((pdf["set"].to_numpy(), pdf["shingle"].to_numpy()))
-        pdf = pdf.iloc[order]
-        sh, root, n = pdf["shingle"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(np.int64)
-        ids, number = np.unique(pdf["set"].to_numpy(), return_inverse=True)
+        sh, root, n = pdf["shingle"].to_numpy()[order], pdf["root"].to_numpy()[order], pdf["n"].to_numpy(np.int64)[order]
+        ids, number = np.unique(pdf["set"].to_numpy()[order], return_inverse=True)
+        own = (pdf["own"] == pdf["block"]).to_numpy()[order]
+        del pdf, order
         ends = np.append(np.flatnonzero(sh[1:] != sh[:-1]) + 1, len(sh))
         end = np.repeat(ends, np.diff(np.append(0, ends)))
         size = np.zeros(len(ids), np.int64)
         size[number] = n
-        mine = np.flatnonzero((pdf["own"] == pdf["block"]).to_numpy())
+        mine = np.flatnonzero(own)
         mine = mine[np.argsort(number[mine], kind="stable")]  # a row's entries together, so that its counts are whole
         width = end[mine] - mine - 1  # sets are sorted within a column: those after this one
         total, lo, found = np.append(0, np.cumsum(width)), 0, []
