@@ -289,12 +289,25 @@ def _sky(s: SparkSession, d: str) -> DataFrame:
 
 @add("spatial_overlap_join", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE a.p_partkey < b.p_partkey AND a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1 AND a.p_size <= b.p_size + 5 AND a.p_size + 5 >= b.p_size AND a.p_retailprice <= b.p_retailprice + 100 AND a.p_retailprice + 100 >= b.p_retailprice")
 def spatial_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def side(n: str, rest: int) -> tuple[DataFrame, spatial.Box]:
-        df = table(spark, sf_dir, "part").where(F.col("p_partkey") % 10 == rest)
+    """A small join, of the two classes of keys that its SQL names; spatial_overlap_join_all joins the whole table."""
+    part = table(spark, sf_dir, "part")
+    return _overlaps(part.where("p_partkey % 10 = 0"), part.where("p_partkey % 10 = 1"))
+
+
+@add("spatial_overlap_join_all", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE a.p_partkey < b.p_partkey AND a.p_size <= b.p_size + 5 AND a.p_size + 5 >= b.p_size AND a.p_retailprice <= b.p_retailprice + 100 AND a.p_retailprice + 100 >= b.p_retailprice")
+def spatial_overlap_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return _overlaps(part, part)
+
+
+def _overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Keys a < b of parts of left and right with overlapping boxes; sizes are spread so that both sides are 100 long."""
+
+    def side(df: DataFrame, n: str) -> tuple[DataFrame, spatial.Box]:
         df = df.select(F.col("p_partkey").alias(n), (F.col("p_size") * 20).alias(f"{n}x"), F.col("p_retailprice").alias(f"{n}y"))
         return df, spatial.Box.of((f"{n}x", F.col(f"{n}x") + 100), (f"{n}y", F.col(f"{n}y") + 100))
 
-    (a, abox), (b, bbox) = side("a", 0), side("b", 1)
+    (a, abox), (b, bbox) = side(left, "a"), side(right, "b")
     return spatial.overlap_join(a, abox, b, bbox, 200.0).where("a < b").select("a", "b")
 
 

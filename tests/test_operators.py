@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import aggregates as A
 from tessera.operators import assoc, fulltext, lookup, rdf, spatial, timeseries, versions
 from tessera.operators import collections as C
+from tessera.queries import QUERIES
 from tessera.sources import files
 from tessera.streaming import streams
 
@@ -61,6 +62,13 @@ def test_spatial(spark):
     assert spark.range(1).where(spatial.on_line(F.lit(0.5), F.lit(0.0), (0.0, 0.0), (1.0, 0.0))).count() == 1
 
 
+def test_overlap_join_of_whole_table(spark, tmp_path):
+    rows = [(k, 1 + k * 7 % 50, 900.0 + k * 37 % 400) for k in range(1, 60)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    expected = [(a, b) for a, s, p in rows for b, t, q in rows if a < b and abs(s - t) <= 5 and abs(p - q) <= 100]
+    assert values(QUERIES["spatial_overlap_join_all"](spark, str(tmp_path))) == sorted(expected)
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "g int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 10, "c")], "g int, u int, v string")
