@@ -7,8 +7,10 @@ minimum (length filter), and what may follow the first shared token must suffice
 The pairs left are counted exactly.
 
 A block is a line, or, of lines over BLOCK_WORDS words, each window of BLOCK_WORDS words at every
-BLOCK_WORDS / 2 words, so that each passage of half a window lies in one block. Only template tokens of
-a block matter, and templates are a fixed list: what is collected or broadcast has its size.
+BLOCK_WORDS / 2 words, so that each passage of half a window lies in one block. A template that no line of
+a text contains may be wrapped, so it is sought in windows over the words of all lines joined, too; there its
+tokens must stand within SPAN times its words, as words of unrelated lines meet in a window by chance. Only
+template tokens of a block matter, and templates are a fixed list: what is collected or broadcast has its size.
 
 Rows: a null text is empty, has no words and no label, and scores 0. Repeated rows get the same result
 each. Results meet their rows by (id, hash of the text), nulls equal to nulls. Empty tables give empty
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower
@@ -48,6 +51,8 @@ TEMPLATES = [
 ]
 #: Share of a template's tokens that a block must hold, and the words of a block.
 THRESHOLD, BLOCK_WORDS = 0.8, 64
+#: Words that a template in joined lines may take up, as a multiple of its own (what marks comments may stand between).
+SPAN = 1.25
 
 
 def needed(n: int) -> int:
@@ -68,7 +73,10 @@ def ordered_tokens(df: DataFrame, text: str = "text") -> list[str]:
 
 
 def license_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row for each block and template that it contains: keys, line and word where the block begins, template, label, containment."""
+    """One row for each block and template that it contains: keys, line and word where the block begins, template, label, containment.
+
+    Line -1 stands for all lines joined, for templates that no single line contains.
+    """
     spark = df.sparkSession
     order = ordered_tokens(df, text)
     rank = {w: i for i, w in enumerate(order)}
@@ -76,26 +84,37 @@ def license_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     for i, (label, sentence) in enumerate(TEMPLATES):
         tokens = sorted(set(sentence.split()), key=rank.__getitem__)
         n, o = len(tokens), needed(len(tokens))
-        templates.append((i, label, tokens))
+        templates.append((i, label, tokens, int(SPAN * len(sentence.split()))))
         prefixes += [(tokens[j], i, j, n, o) for j in range(n - o + 1)]
     rare = sorted({p[0] for p in prefixes})
-    lines = df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line", "_line"))
-    lines = lines.select(*keys, "line", _words(F.lower("_line")).alias("_words")).where(F.arrays_overlap("_words", F.array(*map(F.lit, rare))))
+    any_rare = F.array(*map(F.lit, rare))
+    likely = df.where(F.arrays_overlap(_words(F.lower(F.col(text))), any_rare))
+    parts = F.split(F.col(text), "\n")
+    several = F.size("_parts") > 1
+    lines = likely.select(*keys, text, parts.alias("_parts"))
+    lines = lines.select(*keys, F.size("_parts").alias("_n"), F.posexplode(F.when(several, F.concat("_parts", F.array(text))).otherwise(F.col("_parts"))).alias("line", "_line"))
+    lines = lines.withColumn("line", F.when(F.col("line") < F.col("_n"), F.col("line")).otherwise(-1))
+    lines = lines.select(*keys, "line", _words(F.lower("_line")).alias("_words")).where(F.arrays_overlap("_words", any_rare))
     half = BLOCK_WORDS // 2
     starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - half - 1, F.lit(0)), F.lit(half))
     blocks = lines.select(*keys, "line", "_words", F.explode(starts).alias("word"))
-    blocks = blocks.select(*keys, "line", "word", F.array_intersect(F.array(*map(F.lit, order)), F.slice("_words", F.col("word") + 1, BLOCK_WORDS)).alias("_tokens"))
+    block = F.slice("_words", F.col("word") + 1, BLOCK_WORDS)
+    blocks = blocks.select(*keys, "line", "word", F.when(F.col("line") < 0, block).alias("_joined"), F.array_intersect(F.array(*map(F.lit, order)), block).alias("_tokens"))
     blocks = blocks.where(F.size("_tokens") >= min(p[4] for p in prefixes))
     index = spark.createDataFrame(prefixes, "token string, template int, _at int, _n int, _needed int")
-    tokens = spark.createDataFrame(templates, "template int, label string, _of array<string>")
-    seen = blocks.select(*keys, "line", "word", "_tokens", F.posexplode("_tokens").alias("_pos", "token"))
+    tokens = spark.createDataFrame(templates, "template int, label string, _of array<string>, _span int")
+    seen = blocks.select(*keys, "line", "word", "_joined", "_tokens", F.posexplode("_tokens").alias("_pos", "token"))
     pairs = seen.join(F.broadcast(index), "token")
     size = F.size("_tokens")
     pairs = pairs.where((size >= F.col("_needed")) & (1 + F.least(size - F.col("_pos") - 1, F.col("_n") - F.col("_at") - 1) >= F.col("_needed")))
     # each pair once: at the first token that both hold
     pairs = pairs.join(F.broadcast(tokens), "template").withColumn("_both", F.array_intersect("_tokens", "_of"))
     pairs = pairs.where((F.get("_both", F.lit(0)) == F.col("token")) & (F.size("_both") >= F.col("_needed")))
-    return pairs.select(*keys, "line", "word", "template", "label", (F.size("_both") / F.col("_n")).alias("containment"))
+    near = F.transform(F.sequence(F.lit(1), F.size("_joined")), lambda i: F.size(F.array_intersect("_of", F.slice("_joined", i, F.col("_span")))))
+    pairs = pairs.withColumn("_held", F.when(F.col("line") < 0, F.array_max(near)).otherwise(F.size("_both"))).where(F.col("_held") >= F.col("_needed"))
+    pairs = pairs.withColumn("_last", F.max("line").over(W.partitionBy(*keys, "template")))
+    pairs = pairs.where((F.col("line") >= 0) | (F.col("_last") < 0))
+    return pairs.select(*keys, "line", "word", "template", "label", (F.col("_held") / F.col("_n")).alias("containment"))
 
 
 def _starts(phrase: list[str], label: str):

@@ -67,6 +67,21 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    comment = lambda words, n: "\n".join(" * " + " ".join(words[k : k + n]) for k in range(0, len(words), n))
+    texts, expected = [], []
+    for label, sentence in licenses.TEMPLATES:
+        words = sentence.split()
+        if len(words) >= 14:
+            texts += ["/*\n" + comment(["lorem"] * k + words + ["ipsum"] * 70, n) + "\n */" for k, n in ((0, 7), (29, 9), (61, 10))]
+            expected += [label] * 3
+    texts += ["one line of text\nand another", "this program is free software\n" + "lorem " * 80 + "\nyou can redistribute it and or modify it under the terms of the", "released mit\n" + "lorem " * 5 + "\nunder the license"]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, label in enumerate(expected):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 and got[i]["n_blocks"] > 0
+    assert all((got[i]["labels"], got[i]["score"], got[i]["n_blocks"]) == ("", 0.0, 0) for i in range(len(expected), len(texts)))
+
+
 def test_quality_counts(spark):
     texts = HARD + ["a b c d e f g h " * 3, "x\nx\n \n\nx y\nx y", "# * $ % & | < > #", "\v\f\r\t"]
     df = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
