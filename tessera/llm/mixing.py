@@ -2,7 +2,8 @@
 
 Documents are counted by source and exact size. A source's budget is met from these counts: as many whole
 passes over the source as fit, then of every size the same share rounded down, then a bounded-knapsack
-dynamic program over the counts left fills what remains as nearly as they allow. Which documents of a size
+dynamic program over the counts left fills what remains as nearly as they allow; where that misses the
+budget, all sums are searched (fit says how far). Which documents of a size
 are taken is set by a seeded hash of the id. The program sees counts, never documents, so it costs the
 number of different sizes; documents are ranked in buckets of the hash, so that no group of a hot source
 or size meets in one task.
@@ -14,7 +15,7 @@ rows. Empty tables give empty results. Input columns named as results are replac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,29 +25,105 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, packed, unpacked
 
-#: Bits of the dynamic program: budgets beyond are first filled from the largest sizes down.
+#: Bits of the first dynamic program: budgets beyond are first filled from the largest sizes down.
 PROGRAM_BITS = 1 << 16
+#: Where that misses the budget: sums that the search over few documents may hold, and units of the program over many.
+SUMS, CORE_UNITS = 1 << 22, 1 << 24
 BUCKETS = 64
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take (at most counts) for a sum near budget and never above it."""
+    """How many documents of each size to take (at most counts) for a sum near budget and never above it.
+
+    A first fill mostly meets the budget. Where it doesn't, all sums are searched, for the nearest that there is:
+    as a set if they are at most SUMS, else by a program over budgets up to CORE_UNITS times the sizes' common
+    divisor. Beyond both, a fill whose last CORE_UNITS units are a program's counts if it is nearer.
+    """
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
+    take = _fill(sizes, counts, budget, PROGRAM_BITS, _program)
+    unit = int(np.gcd.reduce(sizes[counts > 0]))
+    units, whole = np.maximum(sizes // unit, 1), budget // unit  # sizes without documents need not divide
+    reached = int((take * units).sum())
+    if reached == whole:
+        return take
+    if (found := _sums(units, counts, whole, reached)) is not None:
+        return found
+    if whole < CORE_UNITS:
+        return _dense(units, counts, whole)
+    core = _fill(units, counts, whole, CORE_UNITS, _dense)
+    return core if int((core * units).sum()) > reached else take
+
+
+def _fill(sizes: np.ndarray, counts: np.ndarray, budget: int, bits: int, program: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """The same share of every size rounded down, then the largest sizes down to what a program of so many bits can hold, then the program."""
+    total = int((sizes * counts).sum())
     take = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
     while (rest := budget - int((take * sizes).sum())) < 0:  # a float may have rounded up
         i = int(np.argmax(take * sizes))
         take[i] -= 1
     order = np.argsort(-sizes, kind="stable")
     for i in order:  # few or large sizes: down to what the program can hold
-        if rest < PROGRAM_BITS:
+        if rest < bits:
             break
-        more = min(int(counts[i] - take[i]), (rest - PROGRAM_BITS) // int(sizes[i]) + 1, rest // int(sizes[i]))
+        more = min(int(counts[i] - take[i]), (rest - bits) // int(sizes[i]) + 1, rest // int(sizes[i]))
         if more > 0:
             take[i] += more
             rest -= more * int(sizes[i])
-    return take + _program(sizes, counts - take, min(rest, PROGRAM_BITS))
+    return take + program(sizes, counts - take, min(rest, bits))
+
+
+def _items(sizes: np.ndarray, counts: np.ndarray, budget: int) -> list[tuple[int, int, int]]:
+    """Place in sizes, documents and their sum: counts split into powers of two, largest sizes first."""
+    items = []
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        left, power = min(int(counts[i]), budget // int(sizes[i])), 1
+        while left > 0:
+            n = min(power, left)
+            items.append((i, n, n * int(sizes[i])))
+            left, power = left - n, power * 2
+    return items
+
+
+def _sums(sizes: np.ndarray, counts: np.ndarray, budget: int, least: int) -> np.ndarray | None:
+    """The counts of the largest sum up to budget, which is at least `least`; None if more than SUMS sums are to be held."""
+    items = _items(sizes, counts, budget)
+    left, held, stages = sum(x for _, _, x in items), 1, [np.zeros(1, np.int64)]
+    for _, _, x in items:
+        left -= x
+        now = np.union1d(stages[-1], stages[-1] + x)
+        now = now[(now <= budget) & (now + left >= least)]
+        held += len(now)
+        if held > SUMS:
+            return None
+        stages.append(now)
+    at, take = int(stages[-1][-1]), np.zeros_like(counts)
+    for (i, n, x), before in zip(reversed(items), reversed(stages[:-1]), strict=True):
+        k = int(np.searchsorted(before, at))
+        if k == len(before) or before[k] != at:
+            take[i] += n
+            at -= x
+    return take
+
+
+def _dense(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """_program for large budgets: of each sum only the first item that reaches it is held."""
+    items, reach, first = _items(sizes, counts, budget), np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int32)
+    reach[0] = True
+    for k, (_, _, x) in enumerate(items):
+        if reach[budget]:
+            break
+        if x <= budget:
+            new = reach[: budget + 1 - x] & ~reach[x:]
+            first[x:][new] = k
+            reach[x:] |= new
+    at, take = int(np.flatnonzero(reach)[-1]), np.zeros_like(counts)
+    while at:
+        i, n, x = items[first[at]]
+        take[i] += n
+        at -= x
+    return take
 
 
 def _program(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

@@ -109,6 +109,33 @@ def test_budget_fit():
         assert int((whole * sizes).sum()) == max(r for r in reach if r <= budget)
 
 
+def test_budget_fit_of_long_documents():
+    def taken(sizes, counts, budget):
+        take = mixing.fit(np.array(sizes, np.int64), np.array(counts, np.int64), budget)
+        assert ((0 <= take) & (take <= np.array(counts))).all()
+        return int((take * np.array(sizes)).sum())
+
+    assert taken([90_000, 95_000, 100_000], [1, 1, 1], 185_000) == 185_000
+    rng = random.Random(8)
+    for _ in range(100):
+        sizes = sorted(rng.sample(range(66_000, 3_000_000), rng.randint(1, 7)))
+        counts = [rng.randint(0, 3) for _ in sizes]
+        budget = rng.randint(0, sum(s * c for s, c in zip(sizes, counts, strict=True)))
+        reach = {0}
+        for s, c in zip(sizes, counts, strict=True):
+            reach = {r + k * s for r in reach for k in range(c + 1)}
+        best = max(r for r in reach if r <= budget)
+        assert taken(sizes, counts, budget) == best
+        if budget < 1 << 22:
+            dense = mixing._dense(np.array(sizes, np.int64), np.array(counts, np.int64), budget)
+            assert int((dense * np.array(sizes)).sum()) == best and (dense <= np.array(counts)).all()
+    sizes = sorted(rng.sample(range(66_000, 200_000), 150))
+    for budget in (9_000_001, sum(sizes) // 3):
+        assert taken(sizes, [1] * len(sizes), budget) == budget
+    sizes = sorted(rng.sample(range(660_000, 2_000_000), 60))
+    assert taken(sizes, [1] * len(sizes), sum(sizes) // 2) == sum(sizes) // 2  # beyond CORE_UNITS
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice(["a", "b", "c", "d", None]) if i % 3 else "a", rng.randint(0, 30), 0) for i in range(600)]
