@@ -5,10 +5,11 @@ MAX_ROWS, drawn by a seeded hash, reach the driver, so the model costs the same
 mark documents, so token labels come first: a word is toxic in a document labelled so if its document
 frequency there is far above that in the others (signed root of the likelihood ratio, of at least MIN_Z and
 more the more words there are).
-The field is fitted to these labelled tokens by gradient ascent on the regularised log likelihood. Words
-without a weight of their own share one potential, so a stretch of them is one power of the transition
-matrix, and forward-backward runs over the weighted words only, whatever the text's length; its marginals
-are exact. A document's score is a logistic of the strongest
+The MAX_FEATURES words of the highest z get weights. The field is fitted to these labelled tokens by
+quasi-Newton ascent on the regularised log likelihood, weights, base and transitions together, until its
+gradient vanishes. Words without a weight of their own share one potential, so a stretch of them is one power
+of the transition matrix, and forward-backward runs over the weighted words only, whatever the text's length;
+its marginals and expected transitions are exact. A document's score is a logistic of the strongest
 marginal and of their sum; spans whose marginal is at least
 one half are its offending offsets (code points).
 
@@ -35,7 +36,8 @@ from tessera.llm.common import from_text
 MAX_ROWS, MIN_Z, MAX_FEATURES = 4000, 3.0, 400
 #: A word: letters, digits, apostrophes within.
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-ROUNDS, RATE, PRIOR = 60, 0.5, 1.0
+#: Precision of the normal prior of each log potential, the gradient at which the ascent ends, and its steps at most.
+PRIOR, GRADIENT, MOST_STEPS = 1.0, 1e-3, 500
 
 
 def words(text: str | None) -> list[tuple[str, int, int]]:
@@ -74,8 +76,8 @@ class Field:
         values, vectors = np.linalg.eig(a)
         return values.real, vectors.real, np.linalg.inv(vectors).real
 
-    def marginals(self, found: list[str], gaps: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-        """P(toxic) at each weighted word, the expected transitions (2 x 2, gaps' inner ones left out), and log Z up to plain scale.
+    def marginals(self, found: list[str], gaps: list[int]) -> np.ndarray:
+        """P(toxic) at each weighted word.
 
         Messages are scaled at each step; a gap is a power of one matrix.
         """
@@ -89,7 +91,7 @@ class Field:
             return vectors @ np.diag((values / top) ** k) @ inverse
 
         first = np.array([1.0, 1.0])
-        forward, total = [], 0.0
+        forward = []
         for i in range(n):
             if i == 0:
                 if gaps[0]:
@@ -100,9 +102,7 @@ class Field:
             else:
                 message = forward[-1] @ gap(gaps[i]) @ step
             message = message * emit[i]
-            z = message.sum()
-            total += math.log(z)
-            forward.append(message / z)
+            forward.append(message / message.sum())
         backward = [None] * n
         message = np.array([1.0, 1.0])
         message = gap(gaps[n]) @ message
@@ -112,14 +112,14 @@ class Field:
                 message = gap(gaps[i]) @ step @ (emit[i] * backward[i])
         both = np.array(forward) * np.array(backward)
         both /= both.sum(1, keepdims=True)
-        return both[:, 1], emit, total
+        return both[:, 1]
 
     def evidence(self, text: str | None) -> tuple[list[tuple[int, int, float]], float, float]:
         """Weighted words with their marginals; the largest marginal; and their sum, at most 8: the expected number of toxic words."""
         found, gaps, _ = self.known(text)
         if not found:
             return [], 0.0, 0.0
-        p, _, _ = self.marginals([w for w, _, _ in found], gaps)
+        p = self.marginals([w for w, _, _ in found], gaps)
         return [(s, e, float(q)) for (_, s, e), q in zip(found, p, strict=True)], float(p.max()), float(min(8.0, p.sum()))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
@@ -165,48 +165,158 @@ def _associated(seen: list[Counter], n1: int, n: int) -> list[str]:
     return sorted((w for w, v in z.items() if v >= need), key=lambda w: (-z[w], w))[:MAX_FEATURES]
 
 
-def _ascend(model: Field, parsed: list[tuple[list[str], int]], toxic: set[str]) -> None:
-    """Gradient ascent on the log likelihood of the token labels, per-word pseudo counts as the prior.
+def _ascend(model: Field, parsed: list[tuple[list[str], int]], toxic: list[str]) -> None:
+    """Ascends the log likelihood of the token labels less the prior's penalty, from the potentials that counts alone give.
 
-    The gradient of a word's weight is its toxic tokens less its expected ones; transitions and the base
-    follow the same rule over the weighted words' neighbourhoods.
+    The parameters are each weighted word's potential (base + weight), the base, and the transitions but plain to
+    plain, which stays 0 as only differences matter.
     """
-    chains = []
-    for ws, y in parsed:
-        found, gaps, last = [], [], -1
-        for n, w in enumerate(ws):
-            if w in model.weight:
-                found.append(w)
-                gaps.append(n - 1 - last)
-                last = n
-        if found:
-            chains.append((found, [*gaps, len(ws) - 1 - last], [int(y and w in toxic) for w in found]))
-    count, target = Counter(), Counter()
-    for found, _, tags in chains:
-        count.update(found)
-        for w, t in zip(found, tags, strict=True):
-            target[w] += t
-    plain = sum(len(ws) for ws, _ in parsed) - sum(count.values())
-    model.base = -math.log(plain + 1.0)
-    shift = {w: math.log((target[w] + 0.1) / (count[w] - target[w] + 0.9)) - model.base for w in model.weight}
-    model.weight = dict(shift)
-    together = sum(a and b for _, g, tags in chains for a, b, k in zip(tags, tags[1:], g[1:]) if k == 0)
-    firsts = sum(a for _, g, tags in chains for a, k in zip(tags, g[1:]) if k == 0)
-    stay = (together + 0.5) / (firsts + 5.0)
-    model.step = [[0.0, 0.0], [0.0, math.log(1 + stay)]]
-    for r in range(ROUNDS // 10):
-        model._eig = model.powers()
-        expected = Counter()
-        for found, gaps, _ in chains:
-            for w, p in zip(found, model.marginals(found, gaps)[0], strict=True):
-                expected[w] += float(p)
-        for w in model.weight:
-            n = count[w]
-            gradient = (target[w] + 0.1) - (expected[w] + 0.1) - 0.01 * (model.weight[w] - shift[w])
-            model.weight[w] += RATE * gradient / (0.25 * n + 0.5) / (1 + 0.1 * r)
+    place = {w: i for i, w in enumerate(toxic)}
+    chains = Chains(parsed, place)
+    hit, seen = chains.tokens(chains.tag), chains.tokens(1.0 - chains.tag)
+    start = np.concatenate([np.log((hit + 0.1) / (seen + 0.9)), [-math.log(chains.n_plain + 1.0), 0.0, 0.0, 0.0]])
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = chains.likelihood(theta)
+        return PRIOR / 2 * float(theta @ theta) - value, PRIOR * theta - gradient
+
+    theta = _minimum(loss, start)
+    base, (s01, s10, s11) = float(theta[-4]), theta[-3:].tolist()
+    model.base, model.step = base, [[0.0, s01], [s10, s11]]
+    model.weight = {w: float(theta[i]) - base for w, i in place.items()}
     model._eig = model.powers()
 
 
+class Chains:
+    """Labelled texts as their weighted words and the gaps of plain words around them, longest chains first."""
+
+    def __init__(self, parsed: list[tuple[list[str], int]], place: dict[str, int]):
+        chains = []
+        for ws, y in parsed:
+            at = [n for n, w in enumerate(ws) if w in place]
+            if ws:
+                ends = [-1, *at, len(ws)]
+                chains.append(([place[ws[n]] for n in at], [b - a - 1 for a, b in zip(ends, ends[1:], strict=False)], y))
+        chains.sort(key=lambda c: -len(c[0]))
+        self.size = np.array([len(found) for found, _, _ in chains])
+        n, most = len(chains), int(self.size.max(initial=0))
+        self.word, self.tag, self.gap = np.full((n, most), -1), np.zeros((n, most)), np.zeros((n, most + 1))
+        for c, (found, gaps, y) in enumerate(chains):
+            self.word[c, : len(found)], self.tag[c, : len(found)], self.gap[c, : len(gaps)] = found, y, gaps
+        self.n_words, self.n_plain = len(place), int(self.gap.sum())
+        #: Whether a chain begins with a plain word, whose potential comes without a transition.
+        self.led = self.gap[:, 0] > 0
+        self.inner = self.gap.copy()
+        self.inner[:, 0] = np.maximum(self.gap[:, 0] - 1, 0)
+        self.given = np.zeros((2, 2))
+        for k in range(most):
+            now = self.size > k
+            tag, beside = self.tag[now, k], (self.gap[now, k] == 0) & (k > 0)
+            before = self.tag[now, k - 1] * beside if k else np.zeros(len(tag))
+            linked = beside | (self.gap[now, k] > 0)
+            self.given[1, 1] += (before * tag).sum()
+            self.given[0, 1] += (linked * (1 - before) * tag).sum()
+            self.given[1, 0] += (before * (1 - tag)).sum()
+            after = np.where(self.gap[now, k + 1] > 0, 1.0, 0.0)
+            self.given[1, 0] += (tag * after).sum()
+
+    def tokens(self, value: np.ndarray) -> np.ndarray:
+        """Sums of value over the places of each weighted word."""
+        known = self.word >= 0
+        return np.bincount(self.word[known], value[known], self.n_words)
+
+    def likelihood(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log likelihood of all tags, and its gradient: counts given less counts expected."""
+        potential, base = theta[: self.n_words], theta[-4]
+        step = np.exp(np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
+        plain = step * np.exp([0.0, base])[None, :]
+        values, vectors = np.linalg.eig(plain)
+        values, vectors = values.real, vectors.real
+        inverse, top = np.linalg.inv(vectors), np.abs(values).max()
+        ratio = values / top
+        emit = np.stack([np.ones(self.word.shape), np.where(self.word >= 0, np.exp(potential[self.word]), 1.0)], -1)
+        n, most = self.word.shape
+        left = np.where(self.led[:, None], np.exp([0.0, base])[None, :], 1.0)
+        lefts, mids, log_z = [left], [], float(self.inner.sum()) * math.log(top)
+        for k in range(most + 1):
+            here = int((self.size >= k).sum())
+            left = lefts[k][:here]
+            mid = ((left @ vectors) * ratio[None, :] ** self.inner[:here, k, None]) @ inverse
+            mids.append(mid)
+            log_z += float(np.log(mid[self.size[:here] == k].sum(1)).sum())
+            more = int((self.size > k).sum())
+            if more:
+                message = mid[:more] @ step if k else np.where(self.led[:more, None], mid[:more] @ step, 1.0)
+                message = message * emit[:more, k]
+                scale = message.sum(1, keepdims=True)
+                log_z += float(np.log(scale).sum())
+                lefts.append(message / scale)
+        toxic, expected, base_toxic = np.zeros(self.word.shape), np.zeros((2, 2)), 0.0
+        onward = np.zeros((0, 2))
+        for k in range(most, -1, -1):
+            here, more = len(mids[k]), len(onward)
+            right = np.ones((here, 2))
+            if more:  # by the transition into the next weighted word
+                arrive = emit[:more, k] * onward
+                right[:more] = arrive @ step.T
+                joint = mids[k][:more, :, None] * step[None] * arrive[:, None, :]
+                joint /= joint.sum((1, 2), keepdims=True)
+                expected += joint[self.led[:more] | (k > 0)].sum(0)
+            left, count = lefts[k][:here], self.inner[:here, k]
+            powers = ratio[None, :] ** count[:, None]
+            turned = right @ inverse.T
+            begin = (turned * powers) @ vectors.T
+            # sum over the gap's steps of left A^j and A^(count - 1 - j) right
+            few = np.maximum(count - 1, 0)
+            cross = (powers[:, 0] - powers[:, 1]) / (ratio[0] - ratio[1])
+            sums = np.stack([np.stack([count * ratio[0] ** few, cross], -1), np.stack([cross, count * ratio[1] ** few], -1)], -2)
+            inside = np.einsum("cp,pa,cpq,bq,cq->cab", left @ vectors, inverse, sums, vectors, turned, optimize=True) * plain[None] / top
+            z = (left * begin).sum(1)
+            if k == 0:  # a chain that begins with a weighted word has no gap there
+                inside = inside[self.led]
+                z_led = z[self.led]
+                base_toxic += float((left[self.led, 1] * begin[self.led, 1] / z_led).sum())
+                inside = (inside / z_led[:, None, None]).sum(0)
+            else:
+                inside = (inside / z[:, None, None]).sum(0)
+                toxic[:here, k - 1] = left[:, 1] * begin[:, 1] / z
+            expected += inside
+            base_toxic += float(inside[:, 1].sum())
+            onward = begin / begin.sum(1, keepdims=True)
+        given = np.concatenate([self.tokens(self.tag), [0.0, self.given[0, 1], self.given[1, 0], self.given[1, 1]]])
+        counted = np.concatenate([self.tokens(toxic), [base_toxic, expected[0, 1], expected[1, 0], expected[1, 1]]])
+        return float(given @ theta) - log_z, given - counted
+
+
+def _minimum(loss, x: np.ndarray) -> np.ndarray:
+    """L-BFGS with backtracking: where the gradient of a convex loss is at most GRADIENT."""
+    value, gradient = loss(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(MOST_STEPS):
+        if np.abs(gradient).max() <= GRADIENT:
+            break
+        way, used = -gradient, []
+        for s, y in reversed(pairs):
+            used.append((s @ way) / (s @ y))
+            way = way - used[-1] * y
+        way = way * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.abs(gradient).max())))
+        for (s, y), a in zip(pairs, reversed(used), strict=True):
+            way = way + (a - (y @ way) / (s @ y)) * s
+        length, slope = min(1.0, 5.0 / float(np.abs(way).max())), float(gradient @ way)
+        while length > 1e-12:
+            after, slant = loss(x + length * way)
+            if after <= value + 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, y = length * way, slant - gradient
+        x, value, gradient = x + s, after, slant
+        if s @ y > 1e-12:
+            pairs = [*pairs[-19:], (s, y)]
+    return x
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Newton's method with a small ridge."""
     x = np.column_stack([np.ones(len(x)), x])

@@ -151,6 +151,43 @@ def test_toxicity_marginals():
     assert [p for _, _, p in model.evidence(text)[0]] == pytest.approx(expected)
 
 
+def test_toxicity_likelihood():
+    parsed = [("x bad y y vile bad z".split(), 1), ("bad x x".split(), 0), ("vile vile".split(), 1), ("y x y x".split(), 0), ("bad".split(), 1), ("x vile".split(), 0)]
+    place = {"bad": 0, "vile": 1}
+    theta = np.array([0.7, -0.4, -1.3, -0.6, 0.3, 0.9])  # bad, vile, base, plain to toxic, toxic to plain, toxic to toxic
+
+    def plain(theta):
+        total, step = 0.0, [[0.0, theta[3]], [theta[4], theta[5]]]
+        for ws, y in parsed:
+            score = lambda tags: sum(t * (theta[place[w]] if w in place else theta[2]) for t, w in zip(tags, ws, strict=True)) + sum(step[a][b] for a, b in zip(tags, tags[1:], strict=False))  # noqa: B023, E731
+            total += score([int(y and w in place) for w in ws]) - np.log(sum(np.exp(score([c >> i & 1 for i in range(len(ws))])) for c in range(2 ** len(ws))))
+        return total
+
+    value, gradient = toxicity.Chains(parsed, place).likelihood(theta)
+    assert value == pytest.approx(plain(theta))
+    assert gradient == pytest.approx([(plain(theta + e) - plain(theta - e)) / 2e-5 for e in np.eye(6) * 1e-5], abs=1e-6)
+
+
+def test_toxicity_learns_transitions():
+    rng = random.Random(9)
+    mild = ["lamp", "river", "stone", "green", "walk", "seven"]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(mild) for _ in range(rng.randint(10, 30))]
+        at = rng.randrange(5, len(words) - 1)
+        # in toxic texts the two stand side by side, in others apart
+        words[at:at] = ["vile", "crow"] if i % 2 else [rng.choice(["vile", "crow"])] if i % 3 else []
+        rows.append((" ".join(words), i % 2))
+    model = toxicity.fit(rows)
+    assert model.step[1][1] - model.step[0][1] - model.step[1][0] > 1
+    assert all(p >= 0.5 for _, _, p in model.score("lamp river vile crow stone walk")[1])
+    assert all(p < 0.5 for _, _, p in model.score("lamp river vile stone crow walk")[1])
+    parsed = [([w for w, _, _ in toxicity.words(t)], y) for t, y in rows]
+    chains = toxicity.Chains(parsed, {w: i for i, w in enumerate(model.weight)})
+    theta = np.array([*(model.base + w for w in model.weight.values()), model.base, model.step[0][1], model.step[1][0], model.step[1][1]])
+    assert chains.likelihood(theta)[1] - toxicity.PRIOR * theta == pytest.approx(np.zeros(len(theta)), abs=2 * toxicity.GRADIENT)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     mild = ["lamp", "river", "stone", "green", "walk", "seven"]
