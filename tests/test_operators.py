@@ -69,6 +69,12 @@ def test_overlap_join_of_whole_table(spark, tmp_path):
     assert values(QUERIES["spatial_overlap_join_all"](spark, str(tmp_path))) == sorted(expected)
 
 
+def test_best_match_in_whole_table(spark, tmp_path):
+    spark.createDataFrame([(k, name) for k, name in enumerate(["kettle", "kernel", "lamp post"], 1)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["patricia_best_match_all"](spark, str(tmp_path)).select("p_name", "matched", "value")
+    assert values(got) == [("kernel", "kerne", 5), ("kettle", "kettl", 5), ("lamp post", "lamp ", 5)]
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "g int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 10, "c")], "g int, u int, v string")
