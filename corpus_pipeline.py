@@ -21,12 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links the document with the least id stays; of rows that repeat an id, one."""
-    joined = materialize(ngram_join.join(docs), "components")
-    gone = materialize(joined.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    if not joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of links the document with the least id stays, nulls last; of rows equal in id and text, one."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        joined = materialize(ngram_join.join(docs), "components")
+        gone = joined.where("component_id <> doc_id").select("doc_id")
+        return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    # ids don't tell rows apart: rows are numbered
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    joined = ngram_join.join(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = joined.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    kept = rows.join(materialize(first.select("_row"), "kept"), "_row", "left_semi")
+    known = F.col("doc_id").isNotNull()
+    return kept.where(known).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~known)).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,17 @@ def test_linear_threads(spark):
     assert [(r["conv"], r["node"], r["parent"], r["text"]) for r in got] == [(None, 0, None, "y"), (1, 0, None, "x"), (1, 1, 0, "x"), (1, 2, 1, "")]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    copy, clean, other = (" ".join(f"{w}{k}" for k in range(30)) for w in ("copy", "clean", "other"))
+    rows = [(1, copy), (2, copy), (2, clean), (2, clean), (None, other), (None, other), (None, copy), (3, ""), (3, ""), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, copy), (2, clean), (None, other), (3, ""), (3, None), (None, "")]))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
