@@ -5,7 +5,9 @@ IPv4 addresses, dates of the calendar, e-mail addresses) are mapped within their
 number below the count of values of its format, a Feistel network over the next even number of bits permutes
 it, and results beyond the count go through it again (cycle walking). Check digits are made anew, separators
 and letter cases stay. As each mapping is a bijection under one key, equal values stay equal in all documents
-and different ones different; who has the key can map back. What fails its validation stays as it is.
+and different ones different; who has the key can map back. What fails its validation stays as it is. IBANs and
+phone numbers are mapped without their separators, phone numbers by country code and national number; those of
+ten digits without a code (ddd ddd dddd and the like) count as of code 1, other national forms aren't known.
 
 Rows: a null text stays null, an empty one empty. Rows are handled one by one, so repeated rows and ties give
 equal results and empty tables empty ones. Texts are scanned whole. Input columns named as results are
@@ -33,14 +35,19 @@ ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 ALPHABETS = [string.digits, string.ascii_lowercase, string.ascii_uppercase, ACCENTED, ACCENTED[:-1].upper()]
 PATTERNS = {
     "email": re.compile(r"[\w.+%-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|([ -])[A-Z0-9]{4}(?:\1[A-Z0-9]{4}){1,6}(?:\1[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "ip": re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     "date": re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[./-][0-9])"),
-    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
+    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,4}){2,6}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
 }
 LIKELY = re.compile("[0-9@]")
+#: Country codes of one and two digits; all others have three. Digits of a number with its code, and of an IBAN, at least.
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+PHONE_DIGITS, IBAN_LEAST = (8, 15), 15
+#: The last group of a value that stands in groups.
+GROUPED = {"iban": re.compile("[ -][A-Z0-9]+$"), "phone": re.compile("[ .-][0-9]+$")}
 
 
 class Feistel:
@@ -134,10 +141,12 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
         inner, outer = ".".join(labels[:-keep]), ".".join(labels[-keep:])
         return _characters(f, f"email:{outer}", f"{name}@{inner}", back) + ("." if inner else "") + outer
     if kind == "iban":
-        if int(text[2:4]) != iban_check(text[:2], text[4:]):
+        whole = re.sub("[ -]", "", text)
+        if len(whole) < IBAN_LEAST or int(whole[2:4]) != iban_check(whole[:2], whole[4:]):
             return None
-        rest = _characters(f, f"iban:{text[:2]}", text[4:], back)
-        return f"{text[:2]}{iban_check(text[:2], rest):02d}{rest}"
+        rest = _characters(f, f"iban:{whole[:2]}", whole[4:], back)
+        new = iter(f"{whole[:2]}{iban_check(whole[:2], rest):02d}{rest}")
+        return "".join(c if c in " -" else next(new) for c in text)
     if kind == "card":
         if luhn(digits) or not int(digits):
             return None
@@ -162,10 +171,16 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
             return new.isoformat()
         month_first = int(text[3:5]) > 12
         return f"{new.month:02d}{text[2]}{new.day:02d}{text[5]}{new.year}" if month_first else f"{new.day:02d}{text[2]}{new.month:02d}{text[5]}{new.year}"
-    lead = len(re.match(r"\+?([0-9]*)", text)[1]) if text[0] == "+" else 0
-    lead = min(lead, len(re.match(r"\+[0-9]{1,3}", text)[0]) - 1) if lead else 0
+    if "(0)" in text:  # the trunk digit, which isn't dialled after a code
+        head, tail = text.split("(0)", 1)
+        new = pseudonym(f, kind, head + tail, back)
+        return None if new is None else f"{new[: len(head)]}(0){new[len(head) :]}"
+    if text[0] == "+" and not PHONE_DIGITS[0] <= len(digits) <= PHONE_DIGITS[1]:
+        return None
+    lead = next((n for n in (1, 2) if digits[:n] in CODES), 3) if text[0] == "+" else 0
     inner = digits[lead:]
-    return _refill(text, digits[:lead] + f"{f.permute(f'phone:{digits[:lead]}:{len(inner)}', int(inner), 10 ** len(inner), back=back):0{len(inner)}d}")
+    code = digits[:lead] or "1"
+    return _refill(text, digits[:lead] + f"{f.permute(f'phone:{code}:{len(inner)}', int(inner), 10 ** len(inner), back=back):0{len(inner)}d}")
 
 
 def replace(f: Feistel, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
@@ -176,8 +191,11 @@ def replace(f: Feistel, text: str, back: bool = False) -> tuple[str, list[tuple[
     for kind, pattern in PATTERNS.items():
         if kind != "email" or "@" in text:
             for m in pattern.finditer(text):
-                if (new := pseudonym(f, kind, m[0], back)) is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                value = m[0]
+                while (new := pseudonym(f, kind, value, back)) is None and kind in GROUPED and (last := GROUPED[kind].search(value)):
+                    value = value[: last.start()]  # the last group may belong to what follows
+                if new is not None:
+                    found.append((m.start(), m.start() + len(value), kind, new))
     order = {k: i for i, k in enumerate(PATTERNS)}
     found.sort(key=lambda x: (x[0], -x[1], order[x[2]]))
     parts, spans, at = [], [], 0

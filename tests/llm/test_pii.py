@@ -31,6 +31,27 @@ def test_values_keep_format_and_map_back(kind, value):
     assert pii.pseudonym(pii.Feistel(b"other"), kind, value) != new
 
 
+MORE = [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "BE68-5390-0754-7034"), ("phone", "+33 1 23 45 67 89"), ("phone", "+44 20 7946 0958"), ("phone", "555 123 4567"), ("phone", "+44 (0)20 7946 0958"), ("phone", "+49 30 123 45 678")]
+
+
+@pytest.mark.parametrize(("kind", "value"), MORE)
+def test_grouped_values(kind, value):
+    new = pii.pseudonym(F1, kind, value)
+    assert new != value and len(new) == len(value) and pii.pseudonym(F1, kind, new, back=True) == value
+    assert pii.replace(F1, f"x {value}, and {value}.") == (f"x {new}, and {new}.", [(2, 2 + len(value), kind), (8 + len(value), 8 + 2 * len(value), kind)])
+
+
+def test_groups_do_not_part_values():
+    def bare(kind, value):
+        return "".join(c for c in pii.pseudonym(F1, kind, value) if c.isalnum())
+
+    assert bare("iban", "DE89 3704 0044 0532 0130 00") == bare("iban", "DE89370400440532013000")
+    assert bare("phone", "+1 (212) 555-0100") == "1" + bare("phone", "(212) 555-0100") == "1" + bare("phone", "212 555 0100") == bare("phone", "+12125550100")
+    assert bare("phone", "+44 20 7946 0958") == bare("phone", "+442079460958")
+    text, spans = pii.replace(F1, "BE68 5390 0754 7034 PAID")
+    assert spans == [(0, 19, "iban")] and text.endswith(" PAID")
+
+
 @pytest.mark.parametrize("text", ["", "plain text", "4417744280351548", "2021-02-30", "300.1.1.1", "000-12-3456", "DE00370400440532013000", "a@b", "4417744280351548"])
 def test_invalid_stays(text):
     assert pii.replace(F1, text) == (text, [])
