@@ -13,7 +13,7 @@ from tessera.operators import collections as C
 from tessera.operators.versions import History
 from tessera.plans import builder as B
 from tessera.plans.compile import select, value_of
-from tessera.sources.catalog import load
+from tessera.sources.catalog import TABLES, load
 from tessera.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,7 +200,7 @@ def agg_merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("agg_ordered", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")(lambda s, d: A.aggregate(table(s, d, "nation"), ["n_regionkey"], A.count().alias("n"), ordered=True))
-add("memory_profile")(lambda s, d: A.memory_profile({n: table(s, d, n) for n in ("region", "nation", "supplier")}))
+add("memory_profile")(lambda s, d: A.memory_profile({n: table(s, d, n) for n in TABLES}))
 
 
 # lookups

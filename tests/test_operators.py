@@ -8,6 +8,7 @@ from tessera.operators import assoc, fulltext, lookup, rdf, spatial, timeseries,
 from tessera.operators import collections as C
 from tessera.queries import QUERIES
 from tessera.sources import files
+from tessera.sources.catalog import TABLES
 from tessera.streaming import streams
 
 
@@ -75,6 +76,13 @@ def test_best_match_in_whole_table(spark, tmp_path):
     assert values(got) == [("kernel", "kerne", 5), ("kettle", "kettl", 5), ("lamp post", "lamp ", 5)]
 
 
+def test_memory_profile_of_every_table(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["class"]: r for r in QUERIES["memory_profile"](spark, sf).collect()}
+    assert set(got) == set(TABLES)
+    assert all(got[t]["records"] == spark.read.parquet(f"{sf}/{t}.parquet").count() and got[t]["size"] > 0 for t in TABLES)
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "g int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 10, "c")], "g int, u int, v string")
