@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import discard, materialize
+
+#: Tables of a round each that reachable() keeps apart.
+MOST_TABLES = 16
+
 # lists
 
 
@@ -111,16 +118,18 @@ def set_of(c: Column) -> Column:
 # graphs of references
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """id of every record that references lead to from roots (id); edges has src and dst. For garbage: anti-join."""
-    from tessera.sources.files import shared_table
-
-    seen = shared_table(roots.select("id").distinct())
-    new = seen
-    for _ in range(rounds):
-        step = edges.join(new.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        new = shared_table(step.join(seen, "id", "left_anti"))
-        if new.isEmpty():
-            break
-        seen = shared_table(seen.unionByName(new))
-    return seen
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id of every record that references lead to from roots (id); edges has src and dst. For garbage: anti-join.
+
+    Goes on until a round finds nothing new, so cycles end and chains of any length are followed. Null ids lead nowhere.
+    """
+    found = [materialize(roots.select("id").where("id is not null").distinct(), "reached")]
+    while not found[-1].isEmpty():
+        seen = reduce(DataFrame.unionByName, found)
+        step = edges.join(found[-1].select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).where("id is not null").distinct()
+        found.append(materialize(step.join(seen, "id", "left_anti"), "reached"))
+        if len(found) > MOST_TABLES:
+            whole = materialize(reduce(DataFrame.unionByName, found[:-1]), "reached")
+            discard(*found[:-1])
+            found = [whole, found[-1]]
+    return reduce(DataFrame.unionByName, found)

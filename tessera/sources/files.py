@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import PurePosixPath
 
@@ -10,20 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df written to and read from the folder that executors share, which cuts its lineage and survives their loss."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_store(spark: SparkSession, path: str, *tables: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(str(PurePosixPath(path) / f"{t}.parquet") if "://" not in path else f"{path}/{t}.parquet") for t in tables}
 
