@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,62 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.sources.scratch import CLEANUP as CLEANUP
+from tessera.sources.scratch import discard as discard
+from tessera.sources.scratch import materialize as materialize
+from tessera.sources.scratch import settings as settings
+
 #: White space of the word definitions: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Removes a query's shuffle files as soon as it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that hold for a while."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where a session names none, as in tests on one machine, a temporary folder is set for it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage.
-
-    The files outlive lost executors and go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    with settings(spark, {CLEANUP: "true"}):  # nothing reads this job's shuffle files again
-        df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. lower() does, but for the two characters whose lower case has ASCII letters, and for letters beyond ASCII."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
