@@ -48,10 +48,10 @@ from tessera.llm.graph import components
 WORDS, SIMILAR = 5, 80
 #: Frequent shingles that the order knows at most, the count that makes one, and the count of a hot column.
 MAX_FREQUENT, FREQUENT, HOT = 1 << 20, 8, 1 << 18
-#: Entries of a block of columns; of a part of rows; cells of a count matrix; rows from which a column is multiplied densely.
-BLOCK, PART, CELLS, DENSE = 400_000, 50_000, 4_000_000, 48
-#: Shingles of a part of whole sets, and of a group of tiles.
-WHOLE, GROUP = 1_000_000, 4_000_000
+#: Entries of a block of columns; cells of a count matrix; rows from which a column is multiplied densely.
+BLOCK, CELLS, DENSE = 400_000, 4_000_000, 48
+#: Least and most entries of a part of rows, and shingles of a part of whole sets: between these a part is a SHARE of all.
+PART, WHOLE, SHARE = (8_000, 50_000), (100_000, 1_000_000), 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,7 +177,7 @@ def columns(docs: DataFrame, total: int, keys: np.ndarray, counts: np.ndarray) -
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple[int, int, int, np.ndarray]], chunk: int) -> pa.RecordBatch:
             sh, row = np.concatenate([s for *_, s in rows]), np.repeat(np.arange(len(rows), dtype=np.uint32), [len(s) for *_, s in rows])
-            block = np.where(known(sh) >= HOT, sh + MULTIPLIER * np.uint64(chunk), sh) % np.uint64(blocks)
+            block = np.where(known(sh) >= HOT, sh + np.uint64(chunk), sh) % np.uint64(blocks)
             order = np.lexsort((sh, block))
             sh, row, block = sh[order], row[order], block[order].astype(np.int64)
             parts, starts = np.unique(block, return_index=True)
@@ -223,6 +223,10 @@ def columns(docs: DataFrame, total: int, keys: np.ndarray, counts: np.ndarray) -
     return dealt.groupBy("block").applyInPandas(meet, "shingle long, set long, n int, rare int")
 
 
+def part_size(bounds: tuple[int, int], total: int) -> int:
+    return int(np.clip(total // SHARE, *bounds))
+
+
 def sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * SIMILAR) & (F.col(b) * 100 >= F.col(a) * SIMILAR)
 
@@ -339,8 +343,8 @@ def product(column: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.nda
         counts = np.zeros((len(mine), len(right)), np.float32)
         cold = dense[c] < 0
         ci, cc = i[cold], c[cold]
-        for at in range(0, len(ci), max(1, CELLS // DENSE)):
-            x, y = ci[at : at + CELLS // DENSE], cc[at : at + CELLS // DENSE]
+        for at in range(0, len(ci), some := max(1, CELLS // DENSE)):
+            x, y = ci[at : at + some], cc[at : at + some]
             w = width[y]
             j = rr[np.repeat(start[y], w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)]
             counts += np.bincount(np.repeat(x, w) * len(right) + j, minlength=counts.size).reshape(counts.shape)
@@ -372,10 +376,11 @@ def candidates(entries: DataFrame, roots: DataFrame) -> DataFrame:
     # sets that share columns get the same part, by the least set in any of them: few columns meet several parts
     owner = active.groupBy("set").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("m"))
     owner = materialize(owner, "owner")
-    split = owner.groupBy("at").agg(F.ceil(F.sum("m") / PART).alias("parts")).where("parts > 1")
-    split = materialize(split, "split")
     total = active.count()
-    parts = 1 + total // PART
+    part = part_size(PART, total)
+    parts = 1 + total // part
+    split = owner.groupBy("at").agg(F.ceil(F.sum("m") / part).alias("parts")).where("parts > 1")
+    split = materialize(split, "split")
     owner = owner.join(split, "at", "left").select("set", F.pmod(F.xxhash64("at", F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))), F.lit(parts)).cast("int").alias("own"))
     owner = materialize(owner, "owner2")
     dealt = materialize(active.drop("at").join(owner, "set"), "dealt")
@@ -412,13 +417,14 @@ def decided(groups: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     whole = needed(docs, made, groups.select("set"))
     sized = materialize(groups.join(whole, "set"), "sized")
     length = F.length("shingles") / 8
-    split = materialize(sized.groupBy("root").agg(F.ceil(F.sum(length) / WHOLE).cast("int").alias("parts")).where("parts > 1"), "split")
-    most = int(sized.agg(F.sum(length)).first()[0] or 0)
+    total = int(sized.agg(F.sum(length)).first()[0] or 0)
+    part = part_size(WHOLE, total)
+    split = materialize(sized.groupBy("root").agg(F.ceil(F.sum(length) / part).cast("int").alias("parts")).where("parts > 1"), "split")
     tiles = sized.join(split, "root", "left").withColumn("own", F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1))).cast("int"))
     alone = tiles.where("parts is null").select("root", "set", "shingles", "own", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     several = tiles.where("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     several = several.select("root", "set", "shingles", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    tiles = alone.unionByName(several).withColumn("g", F.pmod(F.xxhash64("root", "lo", "hi"), F.lit(max(8, most // GROUP))))
+    tiles = alone.unionByName(several).withColumn("g", F.pmod(F.xxhash64("root", "lo", "hi"), F.lit(max(8, 4 * total // part))))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
