@@ -12,6 +12,10 @@ from tessera.llm.common import materialize, n_words, table
 from tessera.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
+#: Anyone can map back what was mapped by this key: it shows the query on test tables, and is no secret.
+DEMONSTRATION_KEY = "a key for demonstrations only"
+
+
 def tokenizer_path(name: str) -> str:
     """A public tokenizer's file: from the folder in TESSERA_TOKENIZERS, else from the installed package."""
     if folder := os.environ.get("TESSERA_TOKENIZERS"):
@@ -55,8 +59,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text under pseudonyms; the key is a secret of the deployment, from TESSERA_PII_KEY."""
-    key = os.environ.get("TESSERA_PII_KEY", "tessera").encode()
+    """Every document's text under pseudonyms; the key is a secret of the deployment, from TESSERA_PII_KEY, else DEMONSTRATION_KEY."""
+    key = os.environ.get("TESSERA_PII_KEY", DEMONSTRATION_KEY).encode()
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
@@ -76,9 +80,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], said.schema)
-    trees = materialize(chat.linear(said.unionByName(more), "conv_id", "turn", "role", "text"), "chat")
-    paths = chat.best_paths(trees, "conv", "node", "parent", "score")
-    made = chat.format_paths(paths, trees, "conv", "node", "role", "text")
+    said = said.unionByName(more)
+    paths = chat.best_paths(chat.linear(said, "conv_id", "turn", "role", "text"), "conv", "node", "parent", "score")
+    made = chat.format_paths(paths, said, "conv_id", None, "role", "text", turn="turn")
     return chat.read_back(made).withColumnRenamed("tree", "conv_id")
 
 
