@@ -1,16 +1,16 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-A two-state chain (plain, toxic) tags each word of a text. Training: of the labelled rows given, at most
-MAX_ROWS, drawn by a seeded hash, reach the driver, so the model costs the same at any corpus size. Labels
-mark documents, so token labels come first: a word is toxic in a document labelled so if its document
-frequency there is far above that in the others (signed root of the likelihood ratio, of at least MIN_Z and
-more the more words there are).
-The MAX_FEATURES words of the highest z get weights. The field is fitted to these labelled tokens by
+A two-state chain (plain, toxic) tags each word of a text. Training takes at most MAX_ROWS of the labelled rows
+given, drawn by a seeded hash, so the model costs the same at any corpus size. Labels mark documents, so token
+labels come first: a word is toxic in a document labelled so if its document frequency there is far above that in
+the others (signed root of the likelihood ratio, of at least MIN_Z and more the more words there are). All such
+words get weights. Words are counted where the rows are; what reaches the driver is the weighted words, and of
+each row their order and the lengths of the gaps between them. The field is fitted to these labelled tokens by
 quasi-Newton ascent on the regularised log likelihood, weights, base and transitions together, until its
 gradient vanishes. Words without a weight of their own share one potential, so a stretch of them is one power
 of the transition matrix, and forward-backward runs over the weighted words only, whatever the text's length;
 its marginals and expected transitions are exact. A document's score is a logistic of the strongest
-marginal and of their sum; spans whose marginal is at least
+marginal and of the logarithm of their sum, as of a count; spans whose marginal is at least
 one half are its offending offsets (code points).
 
 Rows: a null or empty text is scored as no words are. Rows are scored one by one, repeated rows alike.
@@ -23,17 +23,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import from_text
+from tessera.llm.common import discard, from_text, materialize
 
-#: Labelled rows that reach the driver at most, the z of toxic words, and words that get weights at most.
-MAX_ROWS, MIN_Z, MAX_FEATURES = 4000, 3.0, 400
+#: Labelled rows that the model is made from at most, and the least z of toxic words.
+MAX_ROWS, MIN_Z = 4000, 3.0
 #: A word: letters, digits, apostrophes within.
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 #: Precision of the normal prior of each log potential, the gradient at which the ascent ends, and its steps at most.
@@ -115,12 +117,16 @@ class Field:
         return both[:, 1]
 
     def evidence(self, text: str | None) -> tuple[list[tuple[int, int, float]], float, float]:
-        """Weighted words with their marginals; the largest marginal; and their sum, at most 8: the expected number of toxic words."""
+        """Weighted words with their marginals; the largest marginal; and log(1 + their sum), which is the expected number of toxic words."""
         found, gaps, _ = self.known(text)
         if not found:
             return [], 0.0, 0.0
         p = self.marginals([w for w, _, _ in found], gaps)
-        return [(s, e, float(q)) for (_, s, e), q in zip(found, p, strict=True)], float(p.max()), float(min(8.0, p.sum()))
+        return [(s, e, float(q)) for (_, s, e), q in zip(found, p, strict=True)], *self.summed(p)
+
+    @staticmethod
+    def summed(p: np.ndarray) -> tuple[float, float]:
+        return (float(p.max()), math.log1p(float(p.sum()))) if len(p) else (0.0, 0.0)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         spans, top, total = self.evidence(text)
@@ -133,46 +139,65 @@ class Field:
 def fit(rows: list[tuple[str | None, int]]) -> Field:
     """The field of labelled texts (text, 0 or 1)."""
     rows = [(t, int(y)) for t, y in rows if y is not None]
-    n1 = sum(y for _, y in rows)
-    if not n1 or n1 == len(rows):
-        return Field(constant=float(n1 > 0) if rows else 0.0)
     seen = [Counter(), Counter()]
-    parsed = [([w for w, _, _ in words(t)], y) for t, y in rows]
-    for ws, y in parsed:
-        seen[y].update(set(ws))
-    toxic = _associated(seen, n1, len(rows))
-    if not toxic:
-        return Field(constant=n1 / len(rows))
-    model = Field(weight=dict.fromkeys(sorted(toxic), 0.0))
-    _ascend(model, parsed, toxic)
-    data = [(model.evidence(t)[1:], y) for t, y in rows]
-    model.score_weights = _logistic(np.array([x for x, _ in data]), np.array([y for _, y in data], float))
-    return model
+    for t, y in rows:
+        seen[y].update({w for w, _, _ in words(t)})
+    counts = [(w, seen[1][w], seen[0][w] + seen[1][w]) for w in seen[0] | seen[1]]
+    n1 = sum(y for _, y in rows)
+    toxic = associated(counts, n1, len(rows), len(counts))
+    return _fitted([(chain(t, toxic), y) for t, y in rows], toxic, n1)
+
+
+def chain(text: str | None, toxic: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The places in toxic of a text's weighted words, and the numbers of words before each and after the last."""
+    found, gaps, last, n = [], [], 0, 0
+    for n, m in enumerate(WORD.finditer(text or ""), 1):
+        if (place := toxic.get(m[0].lower())) is not None:
+            found.append(place)
+            gaps.append(n - 1 - last)
+            last = n
+    return found, [*gaps, n - last]
 
 
-def _associated(seen: list[Counter], n1: int, n: int) -> list[str]:
-    """Words that mark toxic documents: signed root of the likelihood ratio of at least MIN_Z and so high that half a word would reach it by chance."""
-    need, n_words = MIN_Z, len(seen[0] | seen[1])
+def least_z(n_words: int) -> float:
+    """MIN_Z, or the z that half a word of so many would reach by chance."""
+    need = MIN_Z
     while n_words * math.erfc(need / math.sqrt(2)) / 2 > 0.5:
         need += 0.01
-    z = {}
-    for w, a in seen[1].items():
-        total = a + seen[0][w]
-        expected = total * n1 / n
+    return need
+
+
+def associated(counts: list[tuple[str, int, int]], n1: int, n: int, n_words: int) -> dict[str, int]:
+    """Places of the words that mark toxic documents, of (word, toxic documents, documents): those whose signed root of the likelihood ratio is at least least_z."""
+    need, z = least_z(n_words), {}
+    for w, a, total in counts:
+        expected = total * n1 / max(n, 1)
         if a > expected:
             cells = ((a, expected), (total - a, total - expected), (n1 - a, n1 - expected), (n - n1 - total + a, n - n1 - total + expected))
             z[w] = math.sqrt(max(0.0, 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)))
-    return sorted((w for w, v in z.items() if v >= need), key=lambda w: (-z[w], w))[:MAX_FEATURES]
+    return {w: i for i, w in enumerate(sorted((w for w, v in z.items() if v >= need), key=lambda w: (-z[w], w)))}
+
+
+def _fitted(chains: list[tuple[tuple[list[int], list[int]], int]], toxic: dict[str, int], n1: int) -> Field:
+    if not n1 or n1 == len(chains):
+        return Field(constant=float(n1 > 0) if chains else 0.0)
+    if not toxic:
+        return Field(constant=n1 / len(chains))
+    model = Field(weight=dict.fromkeys(toxic, 0.0))
+    _ascend(model, chains, toxic)
+    names = list(toxic)
+    data = [model.summed(model.marginals([names[i] for i in found], gaps) if found else np.zeros(0)) for (found, gaps), _ in chains]
+    model.score_weights = _logistic(np.array(data), np.array([y for _, y in chains], float))
+    return model
 
 
-def _ascend(model: Field, parsed: list[tuple[list[str], int]], toxic: list[str]) -> None:
+def _ascend(model: Field, given: list[tuple[tuple[list[int], list[int]], int]], toxic: dict[str, int]) -> None:
     """Ascends the log likelihood of the token labels less the prior's penalty, from the potentials that counts alone give.
 
     The parameters are each weighted word's potential (base + weight), the base, and the transitions but plain to
     plain, which stays 0 as only differences matter.
     """
-    place = {w: i for i, w in enumerate(toxic)}
-    chains = Chains(parsed, place)
+    chains = Chains(given, len(toxic))
     hit, seen = chains.tokens(chains.tag), chains.tokens(1.0 - chains.tag)
     start = np.concatenate([np.log((hit + 0.1) / (seen + 0.9)), [-math.log(chains.n_plain + 1.0), 0.0, 0.0, 0.0]])
 
@@ -183,27 +208,22 @@ def _ascend(model: Field, parsed: list[tuple[list[str], int]], toxic: list[str])
     theta = _minimum(loss, start)
     base, (s01, s10, s11) = float(theta[-4]), theta[-3:].tolist()
     model.base, model.step = base, [[0.0, s01], [s10, s11]]
-    model.weight = {w: float(theta[i]) - base for w, i in place.items()}
+    model.weight = {w: float(theta[i]) - base for w, i in toxic.items()}
     model._eig = model.powers()
 
 
 class Chains:
     """Labelled texts as their weighted words and the gaps of plain words around them, longest chains first."""
 
-    def __init__(self, parsed: list[tuple[list[str], int]], place: dict[str, int]):
-        chains = []
-        for ws, y in parsed:
-            at = [n for n, w in enumerate(ws) if w in place]
-            if ws:
-                ends = [-1, *at, len(ws)]
-                chains.append(([place[ws[n]] for n in at], [b - a - 1 for a, b in zip(ends, ends[1:], strict=False)], y))
+    def __init__(self, given: list[tuple[tuple[list[int], list[int]], int]], n_words: int):
+        chains = [(found, gaps, y) for (found, gaps), y in given if found or gaps[0]]
         chains.sort(key=lambda c: -len(c[0]))
         self.size = np.array([len(found) for found, _, _ in chains])
         n, most = len(chains), int(self.size.max(initial=0))
         self.word, self.tag, self.gap = np.full((n, most), -1), np.zeros((n, most)), np.zeros((n, most + 1))
         for c, (found, gaps, y) in enumerate(chains):
             self.word[c, : len(found)], self.tag[c, : len(found)], self.gap[c, : len(gaps)] = found, y, gaps
-        self.n_words, self.n_plain = len(place), int(self.gap.sum())
+        self.n_words, self.n_plain = n_words, int(self.gap.sum())
         #: Whether a chain begins with a plain word, whose potential comes without a transition.
         self.led = self.gap[:, 0] > 0
         self.inner = self.gap.copy()
@@ -331,16 +351,42 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", seed: int = 0) -> Field:
     """Fits a field to the texts of at most MAX_ROWS labelled keys, those with the least seeded hash.
 
-    Keys are drawn from the labels alone; only then are the texts of those drawn collected.
+    Keys are drawn from the labels alone. Of the texts drawn the driver gets the words that mark toxic documents
+    (by counts made where the texts are) and, of each text, their order and gaps. A key that stands in several rows
+    of docs or labels counts as often; beyond MAX_ROWS rows the ones with the greatest hashes stay out.
     """
-    given = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
+    given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
     last = given.select("h").orderBy("h").limit(MAX_ROWS).agg(F.max("h")).first()[0]
     if last is None:
         return fit([])
     drawn = given.where(F.col("h") <= last)
     texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("text")).where(F.xxhash64(F.lit(seed), F.col("k2")) <= last)
-    rows = texts.join(drawn, F.col("k") == F.col("k2")).select("text", "y", "h")
-    return fit([(r["text"], r["y"]) for r in rows.orderBy("h", "text", "y").limit(MAX_ROWS).collect()])
+    rows = texts.join(drawn, F.col("k") == F.col("k2")).select("text", "y", "h", F.xxhash64("text").alias("t"))
+    rows = materialize(rows.orderBy("h", "t", "y").limit(MAX_ROWS), "labelled")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted({w for w, _, _ in words(t)})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["word", "y"])
+
+    counts = rows.select("text", "y").mapInArrow(spread, "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("total"))
+    counts = materialize(counts, "words")
+    n1, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    n_words = counts.count()
+    # words in too few toxic documents can't mark them: a of n1 give a likelihood ratio of at most 2 a (log(n / n1) + 1)
+    most = 2 * F.col("a") * (math.log(max(n, 1) / max(n1, 1)) + 1)
+    marking = counts.where((F.col("a") * n > F.col("total") * n1) & (most >= least_z(n_words) ** 2))
+    toxic = associated([tuple(r) for r in marking.collect()], n1, n, n_words)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [chain(t, toxic) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1)] + [batch.column(1)], ["found", "gaps", "y"])
+
+    made = rows.select("text", "y").mapInArrow(shorten, "found array<int>, gaps array<int>, y int").collect()
+    discard(rows, counts)
+    return _fitted(sorted(((list(r["found"]), list(r["gaps"])), r["y"]) for r in made), toxic, n1)
 
 
 def score(df: DataFrame, model: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
