@@ -5,7 +5,8 @@ IPv4 addresses, dates of the calendar, e-mail addresses) are mapped within their
 number below the count of values of its format, a Feistel network over the next even number of bits permutes
 it, and results beyond the count go through it again (cycle walking). Check digits are made anew, separators
 and letter cases stay. As each mapping is a bijection under one key, equal values stay equal in all documents
-and different ones different; who has the key can map back. What fails its validation stays as it is. IBANs and
+and different ones different; who has the key can map back. A date is mapped as a day, whatever its form; days up
+to the 12th of a month and later ones are mapped among themselves, as dd/mm and mm/dd can be told apart for later ones only. What fails its validation stays as it is. IBANs and
 phone numbers are mapped without their separators, phone numbers by country code and national number; those of
 ten digits without a code (ddd ddd dddd and the like) count as of code 1, other national forms aren't known.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -34,7 +35,6 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 ALPHABETS = [string.digits, string.ascii_lowercase, string.ascii_uppercase, ACCENTED, ACCENTED[:-1].upper()]
 PATTERNS = {
-    "email": re.compile(r"[\w.+%-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|([ -])[A-Z0-9]{4}(?:\1[A-Z0-9]{4}){1,6}(?:\1[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -42,6 +42,11 @@ PATTERNS = {
     "date": re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[./-][0-9])"),
     "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,4}){2,6}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
 }
+#: What follows the @ of an e-mail address, and what may stand before it beside letters and digits; its last character is a letter, digit or _.
+HOST, LOCAL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "_.+%-"
+#: Longest parts before and after the @ of a valid address.
+MAX_LOCAL, MAX_HOST = 64, 253
+KINDS = ("email", *PATTERNS)
 LIKELY = re.compile("[0-9@]")
 #: Country codes of one and two digits; all others have three. Digits of a number with its code, and of an IBAN, at least.
 CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
@@ -119,6 +124,21 @@ def _ssn(x: int) -> bool:
     return area not in (0, 666) and area < 900 and group > 0 and serial > 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of e-mail addresses: from each @ back to what can't be part of one, so each character is read once."""
+    at, before = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > before and at - start <= MAX_LOCAL and (text[start - 1].isalnum() or text[start - 1] in LOCAL):
+            start -= 1
+        valid = 0 < at - start <= MAX_LOCAL and (text[at - 1].isalnum() or text[at - 1] == "_")
+        m = HOST.match(text, at + 1, at + 2 + MAX_HOST) if valid else None
+        before = m.end() if m else at + 1
+        if m and m.end() - at - 1 <= MAX_HOST:
+            yield start, m.end()
+        at = text.find("@", before)
+
+
 def _day(text: str) -> date | None:
     parts = [int(p) for p in re.split("[./-]", text)]
     y, m, d = parts if len(text.split("-")[0]) == 4 else (parts[2], parts[1], parts[0])
@@ -166,7 +186,9 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
         if day is None:
             return None
         days = (LAST_DAY - FIRST_DAY).days + 1
-        new = FIRST_DAY + timedelta(f.permute("date", (day - FIRST_DAY).days, days, back=back))
+        # days beyond the 12th stay so: what is written month first can't be read day first before or after
+        late = day.day > 12
+        new = FIRST_DAY + timedelta(f.permute("date", (day - FIRST_DAY).days, days, lambda x: ((FIRST_DAY + timedelta(x)).day > 12) == late, back))
         if text[4] == "-":
             return new.isoformat()
         month_first = int(text[3:5]) > 12
@@ -188,15 +210,16 @@ def replace(f: Feistel, text: str, back: bool = False) -> tuple[str, list[tuple[
     if not LIKELY.search(text):
         return text, []
     found = []
+    for start, end in emails(text):
+        found.append((start, end, "email", pseudonym(f, "email", text[start:end], back)))
     for kind, pattern in PATTERNS.items():
-        if kind != "email" or "@" in text:
-            for m in pattern.finditer(text):
-                value = m[0]
-                while (new := pseudonym(f, kind, value, back)) is None and kind in GROUPED and (last := GROUPED[kind].search(value)):
-                    value = value[: last.start()]  # the last group may belong to what follows
-                if new is not None:
-                    found.append((m.start(), m.start() + len(value), kind, new))
-    order = {k: i for i, k in enumerate(PATTERNS)}
+        for m in pattern.finditer(text):
+            value = m[0]
+            while (new := pseudonym(f, kind, value, back)) is None and kind in GROUPED and (last := GROUPED[kind].search(value)):
+                value = value[: last.start()]  # the last group may belong to what follows
+            if new is not None:
+                found.append((m.start(), m.start() + len(value), kind, new))
+    order = {k: i for i, k in enumerate(KINDS)}
     found.sort(key=lambda x: (x[0], -x[1], order[x[2]]))
     parts, spans, at = [], [], 0
     for start, end, kind, new in found:

@@ -92,25 +92,27 @@ def battery(run: str) -> tuple[str, float, float]:
     return name, min(1.0, 3 * min(chi, run_p, serial)), _poisson_lower(pairs, coincide * n * (n - 1) / 2)
 
 
-def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]]]:
-    """The plain spans of a text, and the runs that pass as random: (start, end, class, grid step of p_text)."""
+def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int, bool]]]:
+    """The plain spans of a text, and the runs tested: (start, end, class, grid step of p_text, free of plain spans)."""
     plain = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= MIN_ASSIGN]
     plain += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     plain += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     plain.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    tested = []
+    tested, at, reach = [], 0, 0
     for m in RUN.finditer(text):
+        while at < len(plain) and plain[at][0] < m.end():  # both stand in order: one walk
+            reach, at = max(reach, plain[at][1]), at + 1
         name, p_random, p_text = battery(m[0])
         if p_random >= MIN_RANDOM:
             step = math.floor(-math.log10(max(p_text, 1e-300)) * STEPS)
         else:
             step = -1  # counted as a run that can't be a discovery
-        tested.append((m.start(), m.end(), f"{name}{len(m[0]).bit_length()}", step))
+        tested.append((m.start(), m.end(), f"{name}{len(m[0]).bit_length()}", step, reach <= m.start()))
     return plain, tested
 
 
 PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
-FOUND = T.StructType([T.StructField("plain", T.ArrayType(PLACE)), T.StructField("tested", T.ArrayType(T.StructType([*PLACE, T.StructField("step", T.IntegerType())])))])
+FOUND = T.StructType([T.StructField("plain", T.ArrayType(PLACE)), T.StructField("tested", T.ArrayType(T.StructType([*PLACE, T.StructField("step", T.IntegerType()), T.StructField("free", T.BooleanType())])))])
 
 
 def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -118,7 +120,7 @@ def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None)
 
     def compute(t: str) -> tuple:
         plain, tested = find(t)
-        return [{"start": s, "end": e, "kind": k} for s, e, k in plain], [{"start": s, "end": e, "kind": k, "step": x} for s, e, k, x in tested]
+        return [{"start": s, "end": e, "kind": k} for s, e, k in plain], [{"start": s, "end": e, "kind": k, "step": x, "free": free} for s, e, k, x, free in tested]
 
     return from_text(df, text, df.columns if keep is None else keep, compute, FOUND)
 
@@ -139,7 +141,7 @@ def discoveries(found: DataFrame) -> DataFrame:
     # classes are encoding times bit length of the run: some 200 rows at the very most
     limit = limits.agg(F.map_from_entries(F.collect_list(F.struct("_class", "_least"))).alias("_limit"))
     out = found.crossJoin(F.broadcast(limit))
-    added = F.filter("tested", lambda t: (t["step"] >= F.try_element_at("_limit", t["kind"])) & ~F.exists("plain", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    added = F.filter("tested", lambda t: t["free"] & (t["step"] >= F.try_element_at("_limit", t["kind"])))
     added = F.transform(added, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("random").alias("kind")))
     order = {k: i for i, k in enumerate(KINDS)}
     place = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
@@ -167,7 +169,7 @@ def redact_all(df: DataFrame, text: str = "text") -> DataFrame:
 
     def compute(t: str) -> tuple:
         plain, tested = find(t)
-        added = [(s, e, "random") for s, e, c, x in tested if x >= limits.get(c, math.inf) and not any(a < e and s < b for a, b, _ in plain)]
+        added = [(s, e, "random") for s, e, c, x, free in tested if free and x >= limits.get(c, math.inf)]
         return (cut(t, sorted(plain + added)),)
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
