@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, itq, mixing, ngram_join
+from tessera.llm.common import n_words
 from tessera.llm.graph import components
 
 
@@ -68,7 +69,47 @@ def test_ngram_join(spark):
     assert {i: r["component_id"] for i, r in got.items()} == expected
     assert all(got[i]["n_shingles"] == len(s) for i, s in sets.items())
     assert ngram_join.join(df.limit(0)).count() == 0
-    assert ngram_join.join(df.unionAll(df.limit(10))).count() == len(rows) + 10
+    odd = [(1, texts[6]), (1, texts[6]), (None, texts[6]), (2, None), (None, "alone here"), (7, "word " * 50_000), (3, "word " * 60_000)]
+    got = ngram_join.join(spark.createDataFrame(odd, "a long, b string").withColumn("set", F.lit("clash")), "a", "b").collect()
+    assert sorted(str(r["component_id"]) for r in got) == sorted(["1", "1", "1", "2", "None", "3", "3"])
+
+
+def test_tile_product():
+    """Counts and chains of one tile against all pairs, for columns dense and not, within a part and between two."""
+    rng = np.random.default_rng(1)
+    for dense, cells in ((48, 4_000_000), (2, 40), (10_000, 7)):
+        ngram_join.DENSE, kept = dense, ngram_join.CELLS
+        ngram_join.CELLS = cells
+        matrix = rng.random((30, 25)) < 0.4
+        row, column = np.nonzero(matrix)
+        order = rng.permutation(len(row))
+        both = matrix.astype(int) @ matrix.T.astype(int)
+        for left, right in ((np.arange(30), np.arange(30)), (np.arange(0, 30, 2), np.arange(1, 30, 2))):
+            links = [(a, b) for a in left for b in right if a != b and both[a, b] >= 8]
+            got = ngram_join.product(column[order], row[order], left, right, lambda a, b, counts: counts >= 8)
+            expected = roots(range(30), links)
+            assert [int(x) for x in got] == [expected[i] for i in range(len(got))]
+        ngram_join.CELLS, ngram_join.DENSE = kept, 48
+
+
+def test_candidates_grow_with_rows(spark, monkeypatch):
+    """Near copies that don't link come out of a tile as one row each at most, however many pairs they make."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(80)]
+
+    def given(n):
+        rows = []
+        for i in range(n):
+            at = 5 + i % 8 * 10  # copies with the same word changed link, others don't
+            rows.append((i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])))
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    sizes = []
+    plain = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: (lambda e: sizes.append(e.count()) or e)(plain(*a)))
+    for n in (100, 200):
+        assert ngram_join.join(given(n)).count() == n
+    assert 0 < sizes[0] <= 100 and 0 < sizes[1] <= 200
 
 
 def test_itq(spark):
@@ -92,6 +133,31 @@ def test_itq(spark):
     assert sum(r["n_links"] for r in got.values()) >= 0.9 * 2 * len(links) > 0
     assert got[n + 4]["n_links"] == 1 and got[n + 5]["component_id"] == n + 4 and all(got[n + k]["n_links"] == 0 and got[n + k]["kept"] for k in (0, 1, 2, 3, 6, 7))
     assert itq.near_duplicates(df.limit(0)).count() == 0
+    other = df.select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<float>").alias("e"), F.col("label").cast("string").alias("root"), F.lit(1).alias("node"))
+    assert itq.near_duplicates(other, "v", "e", "root").where("n_links > 0").count() > 0
+
+
+def test_itq_narrows(spark, monkeypatch):
+    """The share of pairs that meet in a bucket falls as a label grows; recall of links stays at nine tenths; parts change nothing."""
+    rng = np.random.default_rng(5)
+
+    def given(n):
+        x = rng.standard_normal((n, 64))
+        x[n // 2 :] = x[: n - n // 2] / np.linalg.norm(x[: n - n // 2], axis=1, keepdims=True) + rng.standard_normal((n - n // 2, 64)) * 0.045
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    shares = [itq.n_tables(itq.key_width(n)) / 2 ** itq.key_width(n) for n in (1000, 10_000, 100_000, 10**7)]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.01 * shares[0]
+    x = given(3000)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = x @ x.T >= 0.93
+    np.fill_diagonal(links, False)
+    first = {r["vec_id"]: tuple(r) for r in itq.near_duplicates(df).collect()}
+    got = sum(r[1] for r in first.values())
+    assert 500 < links.sum() >= got >= 0.9 * links.sum()
+    monkeypatch.setattr(itq, "PART", 10)
+    monkeypatch.setattr(itq.in_tiles, "__defaults__", (10, 64))
+    assert {r["vec_id"]: tuple(r) for r in itq.near_duplicates(df).collect()} == first
 
 
 def test_budget_fit():
@@ -198,8 +264,24 @@ def test_chat_escapes():
 
 def test_linear_threads(spark):
     df = spark.createDataFrame([(1, 2, "assistant", None), (1, 1, None, "x"), (1, 1, None, "x"), (None, 1, "user", "y")], "c long, t long, r string, x string")
-    got = chat.linear(df, "c", "t", "r", "x").orderBy("conv", "node").collect()
-    assert [(r["conv"], r["node"], r["parent"], r["text"]) for r in got] == [(None, 0, None, "y"), (1, 0, None, "x"), (1, 1, 0, "x"), (1, 2, 1, "")]
+    given = chat.linear(df, "c", "t", "r", "x")
+    got = given.orderBy("conv", "node").collect()
+    assert [(r["conv"], r["node"], r["parent"], r["score"]) for r in got] == [(None, 0, None, 1.0), (1, 0, None, 1.0), (1, 1, 0, 1.0), (1, 2, 1, 0.0)]
+    paths = chat.best_paths(given, "conv", "node", "parent", "score")
+    made = {r["tree"]: chat.parse(r["formatted"]) for r in chat.format_paths(paths, df.withColumn("node", F.lit("clash")), "c", None, "r", "x", turn="t").collect()}
+    assert made == {None: [("user", "y")], 1: [("", "x"), ("", "x"), ("assistant", "")]}
+
+
+def test_odd_trees(spark):
+    """Repeated ids count once, a lost parent makes a root, cycles and what hangs below them give no path."""
+    rows = [("t", 1, None, 1.0, "user", "a"), ("t", 2, 1, 1.0, "assistant", "b")] * 2 + [("lost", 5, 99, 2.0, "user", "c"), ("lost", 6, 5, 1.0, "user", "d")]
+    rows += [("cycle", i, i % 70 + 1, 1.0, "user", "e") for i in range(1, 71)] + [("cycle", 80, 3, 1.0, "user", "f"), ("self", 1, 1, 1.0, "user", "g"), (None, 1, None, None, None, None), ("t", None, 1, 9.0, "user", "no id")]
+    rows += [("tie", 1, None, 1.0, "user", "r"), ("tie", 3, 1, 2.0, "user", "later"), ("tie", 2, 1, 2.0, "user", "first")]
+    rows += [("long", i, i - 1 if i else None, 0.0, "user", str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string").withColumn("leaf", F.lit("clash"))
+    paths = chat.best_paths(df, "tree", "node", "parent", "score")
+    made = {r["tree"]: chat.parse(r["formatted"]) for r in chat.format_paths(paths, df, "tree", "node", "role", "text").collect()}
+    assert made == {"t": [("user", "a"), ("assistant", "b")], "lost": [("user", "c"), ("user", "d")], None: [("", "")], "tie": [("user", "r"), ("user", "first")], "long": [("user", str(i)) for i in range(200)]}
 
 
 def test_near_duplicates_of_repeated_ids(spark):
@@ -227,5 +309,10 @@ def test_pipeline(spark):
     clean = secrets(spark, docs, sf)
     assert clean.count() == docs.count() and clean.where("n_chars <> char_length(text)").count() == 0
     mixed = mixture(spark, docs, sf)
+    key = [F.xxhash64("text"), F.col("doc_id")]
+    repeated = docs.unionAll(docs.limit(40)).unionAll(docs.limit(40))
+    given = repeated.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size"))
+    wanted = {tuple(r)[:2]: r["n"] for r in mixing.mix(given).groupBy("doc_id", "h").agg(F.sum("copies").alias("n")).where("n > 0").collect()}
+    assert {tuple(r)[:2]: r["count"] for r in mixture(spark, repeated, sf).groupBy(key[1], key[0].alias("h")).count().collect()} == wanted
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().where(F.col("count") > 2).count() == 0
     assert tokens(spark, docs.limit(5), sf).count() == 5

@@ -163,7 +163,7 @@ def test_toxicity_likelihood():
             total += score([int(y and w in place) for w in ws]) - np.log(sum(np.exp(score([c >> i & 1 for i in range(len(ws))])) for c in range(2 ** len(ws))))
         return total
 
-    value, gradient = toxicity.Chains(parsed, place).likelihood(theta)
+    value, gradient = toxicity.Chains([(toxicity.chain(' '.join(ws), place), y) for ws, y in parsed], len(place)).likelihood(theta)
     assert value == pytest.approx(plain(theta))
     assert gradient == pytest.approx([(plain(theta + e) - plain(theta - e)) / 2e-5 for e in np.eye(6) * 1e-5], abs=1e-6)
 
@@ -182,8 +182,8 @@ def test_toxicity_learns_transitions():
     assert model.step[1][1] - model.step[0][1] - model.step[1][0] > 1
     assert all(p >= 0.5 for _, _, p in model.score("lamp river vile crow stone walk")[1])
     assert all(p < 0.5 for _, _, p in model.score("lamp river vile stone crow walk")[1])
-    parsed = [([w for w, _, _ in toxicity.words(t)], y) for t, y in rows]
-    chains = toxicity.Chains(parsed, {w: i for i, w in enumerate(model.weight)})
+    place = {w: i for i, w in enumerate(model.weight)}
+    chains = toxicity.Chains([(toxicity.chain(t, place), y) for t, y in rows], len(place))
     theta = np.array([*(model.base + w for w in model.weight.values()), model.base, model.step[0][1], model.step[1][0], model.step[1][1]])
     assert chains.likelihood(theta)[1] - toxicity.PRIOR * theta == pytest.approx(np.zeros(len(theta)), abs=2 * toxicity.GRADIENT)
 
@@ -202,6 +202,9 @@ def test_toxicity(spark):
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     labels = docs.select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     model = toxicity.train(docs.drop("toxic"), labels)
+    known = {r["doc_id"] for r in labels.collect()}
+    local = toxicity.fit([(t, y) for i, t, y in rows if i in known])
+    assert model.weight == pytest.approx(local.weight, abs=0.05) and model.step[1] == pytest.approx(local.step[1], abs=0.05)
     scored = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert all((scored[i]["score"] >= 0.5) == bool(y) for i, _, y in rows if i in held)
     r = scored[0]
