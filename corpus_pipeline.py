@@ -2,15 +2,21 @@
 
 Every stage takes the documents that its predecessor kept and returns the columns of documents; the last
 returns tokens. Its functions take (spark, docs, sf_dir).
+
+Rows: null texts count as empty, are kept as not toxic, have no near duplicates, no secrets and no tokens, and are
+never taken by the mix, as are texts without a word. A null source is a source of its own. Ids may be null or
+repeated: then rows are told apart by themselves, rows equal in id and text are one, and of a group of near
+duplicates the one with the least id stays, nulls last. Columns beside those of documents pass through all stages
+but the last, unless their names begin with an underscore. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, ngram_join, secret_scan, toxicity
-from tessera.llm.common import materialize, n_words, table
+from tessera.llm.common import discard, materialize, n_words, table
 from tessera.llm.queries import tokenizer_path, toxicity_model
 
 
@@ -23,9 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of links the document with the least id stays, nulls last; of rows equal in id and text, one."""
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        joined = materialize(ngram_join.join(docs), "components")
-        gone = joined.where("component_id <> doc_id").select("doc_id")
-        return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+        gone = materialize(ngram_join.join(docs).where("component_id <> doc_id").select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # ids don't tell rows apart: rows are numbered
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     joined = ngram_join.join(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
@@ -42,13 +47,19 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times). Equal rows take the same, rounded down."""
+    """Each document as often as the mix takes it (0 to 2 times). Of rows equal in id and text, which of them are taken makes no difference."""
     key = F.xxhash64("text")
-    narrow = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("h")), "narrow")
-    taken = mixing.mix(narrow).groupBy("doc_id", "h").agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies")).where("copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "taken_id")
-    rows = docs.withColumn("_h", key).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("_h") == F.col("h")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    narrow = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_h")), "narrow")
+    taken = mixing.mix(narrow, keep=["doc_id", "_h"]).groupBy("doc_id", "_h").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_key"), "_copies", "_rows"), "taken")
+    discard(narrow)
+    some, each = taken.where("_copies > 0"), F.col("_copies")
+    rows = docs.withColumn("_h", key).join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_key")))
+    if not some.where("_rows > 1").isEmpty():  # equal rows share what is taken of them
+        rank = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
+        each = F.floor(F.col("_copies") / F.col("_rows")) + (rank <= F.col("_copies") % F.col("_rows")).cast("int")
+    rows = rows.withColumn("_times", each.cast("int")).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +69,14 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("bpe", tokenize)]
-#: The stages learn a model, find components and fit budgets, which SQL can't express; tests compare them with brute force.
+#: The stages learn a model, find components and fit budgets, which SQL can't express; tests compare each with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
     return docs
