@@ -57,9 +57,10 @@ def count() -> Column:
     return F.count(F.lit(1))
 
 
-def distinct_count(value: str) -> Column:
+def distinct_count(value: str | Column) -> Column:
     """Different values; null is one."""
-    return F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))
+    c = F.col(value) if isinstance(value, str) else value
+    return F.count_distinct(c) + F.max(c.isNull().cast("int"))
 
 
 def approx_distinct(value, error: float = 0.02) -> Column:

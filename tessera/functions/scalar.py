@@ -71,3 +71,26 @@ def decimal_scale(x: Column, digits: int, scale: int) -> Column:
     return F.round(x, scale).cast(f"decimal({min(18, digits + scale)},{scale})")
 
 
+
+
+def decimal_mul(a: Column, b: Column, digits: int, scale: int) -> Column:
+    return (a * b).cast(f"decimal({digits},{scale})")
+
+
+def decimal_div(a: Column, b: Column, digits: int, scale: int) -> Column:
+    """Rounded half up; null where b is 0."""
+    return F.try_divide(a, b).cast(f"decimal({digits},{scale})")
+
+
+def decimal_abs(a: Column) -> Column:
+    return F.abs(a)
+
+
+def decimal_neg(a: Column) -> Column:
+    return F.negative(a)
+
+
+def decimal_format(a: Column, scale: int, width: int = 0, fill: str = " ") -> Column:
+    """As text with `scale` digits after the point, filled up from the left."""
+    text = F.round(a, scale).cast(f"decimal(38,{scale})").cast("string")
+    return F.when(F.char_length(text) < width, F.lpad(text, width, fill)).otherwise(text)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.fulltext import Index, parse
+
 SCHEMA = "item string, attr string, pos int, text string, number double, ref string"
 
 
@@ -141,3 +143,8 @@ def full_text(eav: DataFrame, attrs: list[str]) -> DataFrame:
     """item and text of the attributes, for a full-text index."""
     rows = eav.where(F.col("attr").isin(attrs) & F.col("text").isNotNull())
     return rows.groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("attr", "pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def match(eav: DataFrame, attrs: list[str], query: str) -> DataFrame:
+    """Items whose attributes a full-text query selects, as a set for both() and either()."""
+    return Index(full_text(eav, attrs), "item", "text").match(parse(query)).select(F.col("doc").alias("item"))

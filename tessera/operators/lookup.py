@@ -150,6 +150,35 @@ def bitmap_union(*maps: DataFrame) -> DataFrame:
     return bag_union(*maps).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def bitmap_intersection(*maps: DataFrame) -> DataFrame:
+    """Buckets that all maps have, with the bits that all have there; buckets without a bit left are left out."""
+    both = bag_union(*maps).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("_n"))
+    return both.where((F.col("_n") == len(maps)) & (F.bitmap_count("bits") > 0)).drop("_n")
+
+
+def bitmap_ids(m: DataFrame, key: str) -> DataFrame:
+    """The ids of a bitmap: of each byte the bits that are set."""
+    byte = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.length("bits") - 1), lambda i: F.struct(i.alias("i"), F.conv(F.hex(F.substring(F.col("bits"), i + 1, F.lit(1))), 16, 10).cast("int").alias("b"))), lambda x: x["b"] > 0))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(F.array(*[F.col("x.b").bitwiseAND(F.lit(1 << k)) for k in range(8)]), i) > 0))
+    rows = m.select("bucket", byte.alias("x")).select("bucket", "x.i", bit.alias("k"))
+    place = F.col("i") * 8 + F.col("k")
+    # buckets from 1 on hold ids from 1 on, the others what is not above 0, downward
+    return rows.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + place + 1).otherwise(F.col("bucket") * 32768 - place).cast("long").alias(key))
+
+
+def bitmap_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The ids of exactly one of two bitmaps, as a bitmap."""
+    return bitmap(symmetric_difference(bitmap_ids(a, "_id"), bitmap_ids(b, "_id")), "_id")
+
+
+def bitmap_contains(m: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Those of ids that a bitmap holds: one bucket is looked at for each."""
+    at = F.bitmap_bit_position(key).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.get(F.array(*[byte.bitwiseAND(F.lit(1 << k)) for k in range(8)]), (at % 8).cast("int"))
+    return ids.withColumn("bucket", F.bitmap_bucket_number(key)).join(m, "bucket").where(bit > 0).select(*ids.columns)
+
+
 def bitmap_count(m: DataFrame) -> DataFrame:
     return m.agg(F.sum(F.bitmap_count("bits")).cast("long").alias("n"))
 
@@ -170,16 +199,31 @@ def projection(df: DataFrame, field: str) -> DataFrame:
 def longest_prefix(keys: DataFrame, key: str, table: DataFrame, prefix_col: str, value: str, max_length: int | None = None) -> DataFrame:
     """Each key with the longest entry of a prefix table that it starts with, by a hash join on the lengths that occur.
 
-    The lengths are few and collected; per key one row per length meets the table, never the whole table.
+    Per key one row per length that occurs meets the table, never the whole table. Null prefixes match nothing.
     """
-    lengths = [r[0] for r in table.select(F.char_length(prefix_col).alias("n")).distinct().where(f"n <= {max_length}" if max_length else "true").collect()]
-    probe = keys.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]))).where(F.char_length(key) >= F.col("_n"))
+    table = table.where(F.col(prefix_col).isNotNull())
+    lengths = table.select(F.char_length(prefix_col).alias("n")).where(f"n <= {max_length}" if max_length else "true")
+    lengths = lengths.agg(F.sort_array(F.collect_set("n")).alias("_lengths"))  # one row; there are as many as the longest prefix has characters
+    probe = keys.select(key).distinct().crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.char_length(key)))).drop("_lengths")
     probe = probe.withColumn("_p", F.substring(F.col(key), F.lit(1), F.col("_n")))
     hits = probe.join(table.select(F.col(prefix_col).alias("_p"), F.col(value).alias("_value")), "_p")
     best = hits.groupBy(key).agg(F.max_by("_value", "_n").alias(value), F.max_by("_p", "_n").alias("matched"))
     return keys.select(key).distinct().join(best, key, "left")
 
 
+def prefix_add(table: DataFrame, prefix_col: str, new: DataFrame) -> DataFrame:
+    """A prefix table with further entries; an entry that is there stays as it is."""
+    return insert(table, new, prefix_col)
+
+
+def prefix_exact(table: DataFrame, prefix_col: str, word: str) -> DataFrame:
+    return get(table, prefix_col, word)
+
+
+def prefix_remove(table: DataFrame, prefix_col: str, words: DataFrame) -> DataFrame:
+    return drop_ids(table, words, prefix_col)
+
+
 # writes
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.lookup import between
 
@@ -33,9 +37,33 @@ def remove(df: DataFrame, ts: str, start=None, end=None) -> tuple[DataFrame, Dat
     return df.where(~gone), df.where(gone).agg(F.count(F.lit(1)).alias("removed"))
 
 
-def blocks(df: DataFrame, ts: str, capacity: int, keys: list[str] = ()) -> DataFrame:
-    """Adds block: rows of each series in order of time, capacity to a block."""
-    return df.withColumn("block", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(ts)) - 1) / capacity).cast("long"))
+def blocks(df: DataFrame, ts: str, capacity: int, keys: list[str] = (), max_seconds: float | None = None) -> DataFrame:
+    """Adds block: rows of each series in order of time, capacity to a block and, with max_seconds, none later than that after its block's first.
+
+    Where a block ends depends on where it began, so with max_seconds a series is walked once, row by row in
+    sorted batches that are never gathered.
+    """
+    if max_seconds is None:
+        return df.withColumn("block", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(ts)) - 1) / capacity).cast("long"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, block, used, began = None, -1, 0, 0
+        for batch in batches:
+            out = []
+            for name, at in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if name != series:
+                    series, block, used = name, -1, capacity
+                if used >= capacity or at - began > max_seconds * 1e6:
+                    block, used, began = block + 1, 0, at
+                used += 1
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.int64())], [*batch.schema.names[:-2], "block"])
+
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    series = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    rows = df.withColumns({"_series": series, "_micros": micros})
+    rows = (rows.repartition("_series") if keys else rows.repartition(1)).sortWithinPartitions("_series", "_micros")
+    return rows.mapInArrow(walk, T.StructType([*df.schema, T.StructField("block", T.LongType())]))
 
 
 def by_period(df: DataFrame, ts: str, period: str, *aggregates: Column, keys: list[str] = ()) -> DataFrame:

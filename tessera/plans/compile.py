@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import scalar
 from tessera.plans.ast import CompileError, Node, Query, parse
+from tessera.plans.listener import pushed
 from tessera.sources.catalog import Catalog, ClassDef
 
 
@@ -33,6 +34,10 @@ class Value:
     literal: Any = None
 
 
+#: Values of a list beyond which `in` joins a table of them.
+MANY = 1000
+
+
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "int"
@@ -91,9 +96,15 @@ class Compiler:
         owner = self._join(path[:-1])
         fk, target = owner.references[path[-1]]
         cls, prefix = self.catalog[target], self._prefix(path)
+        here = f"{self._prefix(path[:-1])}{fk}"
+        if target in self.catalog.resolvers:  # the record referred to leads to the one in its place
+            column, final = self.catalog.resolvers[target]
+            between = self.catalog.extent(target).select(F.col(f"`{cls.key}`").alias(f"{prefix}__key"), F.col(f"`{column}`").alias(f"{prefix}__to"))
+            self.df = self.df.join(between, F.col(f"`{here}`") == F.col(f"`{prefix}__key`"), "left")
+            cls, target, here = self.catalog[final], final, f"{prefix}__to"
         df = self.catalog.extent(target)
         df = df.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
-        self.df = self.df.join(df, F.col(f"`{self._prefix(path[:-1])}{fk}`") == F.col(f"`{prefix}{cls.key}`"), "left")
+        self.df = self.df.join(df, F.col(f"`{here}`") == F.col(f"`{prefix}{cls.key}`"), "left")
         self.joined[path] = cls
         return cls
 
@@ -104,7 +115,7 @@ class Compiler:
             self._join(path)
             return typed(F.col(f"`{self._prefix(path)}{name}`"), schema[name].dataType, ci=name in cls.ci_fields)
         if name in cls.references:
-            target = self.catalog[cls.references[name][1]]
+            target = self.catalog.resolved(cls.references[name][1])
             fk = F.col(f"`{self._prefix(path)}{cls.references[name][0]}`")
             self._join(path)
             return Value(fk, "obj", path=(*path, name), cls=target)
@@ -359,6 +370,15 @@ class Compiler:
         return Value(F.like(a, F.replace(b, F.lit("\\"), F.lit("\\\\"))), "bool")
 
     def within(self, x: Value, y: Value, at: int) -> Value:
+        if y.type == "list" and len(y.literal) > MANY and not self.scopes:
+            # a table of the values, joined: what it marks is in it
+            self.markers += 1
+            mark, col = f"__in{self.markers}", self.text(x) if x.type == "str" else x.col
+            kind = {"int": "long", "real": "double", "str": "string"}.get(x.type)
+            values = sorted({v for v in y.literal if v is not None})
+            table = self.df.sparkSession.createDataFrame([(v,) for v in values], f"{mark} {kind}" if kind else [mark])
+            self.df = self.df.join(table, col == F.col(mark), "left")
+            return Value(F.when(col.isNotNull(), F.col(mark).isNotNull()), "bool")
         if y.type == "list":
             return Value(self.known(x, x.col.isin(y.literal)) if x.type == "str" and all(y.literal) else (self.text(x) if x.type == "str" else x.col).isin(y.literal), "bool")
         if y.type == "array":
@@ -403,15 +423,23 @@ class Compiler:
     def contains(self, coll: Node, cond: Node | None, group: Node | None, having: Node | None, at: int) -> Value:
         target = self.value(coll)
         if target.type == "array":
-            if having is not None:
-                raise CompileError("group by needs a collection of records", at)
             element = target.spark.elementType
-            return Value(F.exists(target.col, self._lambda("", lambda x: Value(x, kind_of(element), element), cond, at)), "bool")
-        if target.type != "coll" or len(target.path) != 1:
+            if having is None:
+                return Value(F.exists(target.col, self._lambda("", lambda x: Value(x, kind_of(element), element), cond, at)), "bool")
+            if kind_of(element) != "struct" or coll.kind != "name" or self.cls.key is None or self.prefix:
+                raise CompileError("group by needs a collection of records of a class with a key", at)
+            # the elements as a class of their own, which knows its owner
+            name = f"{self.cls.name}.{coll.args[0]}"
+            elements = self.catalog.extent(self.cls.name).select(F.col(f"`{self.cls.key}`").alias("__owner"), F.explode(f"`{coll.args[0]}`").alias("__e")).select("__owner", "__e.*")
+            owner = replace(self.cls, collections={**self.cls.collections, name: (name, "__owner")})
+            self.catalog = self.catalog.extended(ClassDef(name, elements))
+            target = Value(None, "coll", path=(name,), cls=owner)
+        if target.type != "coll":
             raise CompileError("a collection expected", at)
         self.markers += 1
         keys = self.holders(target, cond, group, having, at).select(F.col("__key").alias(f"__m{self.markers}"))
-        self.df = self.df.join(keys, F.col(f"`{self.prefix}{self.cls.key}`") == F.col(f"__m{self.markers}"), "left")
+        self._join(target.path[:-1])
+        self.df = self.df.join(keys, F.col(f"`{self._prefix(target.path[:-1])}{target.cls.key}`") == F.col(f"__m{self.markers}"), "left")
         return Value(F.col(f"__m{self.markers}").isNotNull(), "bool")
 
     def holders(self, target: Value, cond: Node | None, group: Node | None, having: Node | None, at: int) -> DataFrame:
@@ -425,6 +453,8 @@ class Compiler:
             test = sub.value(having).col
         df = sub.df
         if sub.outer_fields:
+            if len(target.path) != 1:
+                raise CompileError("a condition on a collection further away can't name the record's own fields", at)
             mine = self.catalog.extent(self.cls.name).select(F.col(self.cls.key).alias("outer__key"), *[F.col(c).alias(f"outer__{c}") for c in sorted(sub.outer_fields)])
             df = df.join(mine, F.col(f"el__{fk}") == F.col("outer__key"))
         if where is not None:
@@ -468,7 +498,7 @@ class Prepared:
     """A parsed predicate over a class; parameters are numbered from 1."""
 
     def __init__(self, catalog: Catalog, cls: str, text: str, null_mode: str = "sql", overflow: str = "null"):
-        self.catalog, self.cls, self.query, self.null_mode, self.overflow = catalog, catalog[cls], parse(text), null_mode, overflow
+        self.catalog, self.cls, self.text, self.query, self.null_mode, self.overflow = catalog, catalog[cls], text, parse(text), null_mode, overflow
         self.params: list[Any] = [None] * self.query.parameters
 
     def set_parameter(self, i: int, value: Any) -> Prepared:
@@ -478,7 +508,16 @@ class Prepared:
         return self
 
     def execute(self, *params: Any) -> DataFrame:
-        return Compiler(self.catalog, self.cls, params or self.params, self.null_mode, overflow=self.overflow).run(self.query)
+        df = Compiler(self.catalog, self.cls, params or self.params, self.null_mode, overflow=self.overflow).run(self.query)
+        if self.catalog.listeners:
+            scanned = not pushed(df)
+            for x in self.catalog.listeners:
+                x.compiled(self.cls.name, self.text)
+                if scanned:
+                    x.sequential_scan(self.cls.name, self.text)
+                if self.query.order:
+                    x.sorted(self.cls.name, self.text)
+        return df
 
 
 def select(catalog: Catalog, cls: str, predicate: str, *params: Any, null_mode: str = "sql", overflow: str = "null") -> DataFrame:

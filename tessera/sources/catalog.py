@@ -31,8 +31,13 @@ class ClassDef:
 
 
 class Catalog:
+    """Classes by name. resolvers: class -> (own column, class) puts the record of another class, found by its key, in the
+    place of each record of the first that navigation comes to. listeners hear of queries (plans/listener.py)."""
+
     def __init__(self, *classes: ClassDef):
         self.classes: dict[str, ClassDef] = {}
+        self.resolvers: dict[str, tuple[str, str]] = {}
+        self.listeners: list = []
         for c in classes:
             self.create_table(c)
 
@@ -42,12 +47,22 @@ class Catalog:
         self.classes[c.name] = c
         return c
 
+    def extended(self, *classes: ClassDef) -> Catalog:
+        """This catalog with further classes, for one query."""
+        out = Catalog(*self.classes.values(), *[c for c in classes if c.name not in self.classes])
+        out.resolvers, out.listeners = self.resolvers, self.listeners
+        return out
+
     def drop_table(self, name: str) -> None:
         del self.classes[name]
 
     def __getitem__(self, name: str) -> ClassDef:
         return self.classes[name]
 
+    def resolved(self, name: str) -> ClassDef:
+        """The class that navigation to a class ends in."""
+        return self.classes[self.resolvers[name][1] if name in self.resolvers else name]
+
     def _lineage(self, name: str) -> list[str]:
         children = [c.name for c in self.classes.values() if c.parent == name]
         return [name, *(x for c in children for x in self._lineage(c))]

@@ -22,18 +22,60 @@ def recompress(spark: SparkSession, source: str, target: str, codec: str = "zstd
     save(spark.read.parquet(source), target, codec)
 
 
-def backup(store: dict[str, DataFrame], path: str) -> None:
+def backup(store: dict[str, DataFrame], path: str, key: Column | None = None) -> None:
+    """Every table into a folder; with a key each row becomes one encrypted column `sealed` (see restore)."""
     for name, df in store.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        out = df if key is None else df.select(encrypt(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), key).alias("sealed"))
+        out.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
 
-def commit(df: DataFrame, path: str) -> str:
-    """Writes a new version beside those that are there and returns its folder; readers of older ones aren't disturbed."""
-    target = f"{path}/version={uuid.uuid4().hex}"
+def restore(spark: SparkSession, path: str, name: str, schema: str, key: Column) -> DataFrame:
+    """A table of an encrypted backup; rows that another key sealed come out as nulls."""
+    opened = decrypt(F.col("sealed"), key).cast("string")
+    return spark.read.parquet(f"{path}/{name}.parquet").select(F.from_json(opened, schema).alias("x")).select("x.*")
+
+
+def commit(df: DataFrame, path: str, listeners: list = ()) -> str:
+    """Writes a new version beside those that are there and returns its folder; readers of older ones aren't disturbed.
+
+    It counts once it is whole: Spark marks it at its end, and latest() passes over unmarked ones.
+    """
+    spark = df.sparkSession
+    last = max((n for n, _ in _versions(spark, path, whole=False)), default=0)
+    target = f"{path}/version={last + 1:012d}-{uuid.uuid4().hex}"
     df.write.parquet(target)
+    for x in listeners:
+        x.committed(target)
     return target
 
 
+def _versions(spark: SparkSession, path: str, whole: bool = True) -> list[tuple[int, str]]:
+    """Numbers and folders of committed versions in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    found = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith("version=")]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    kept = [p for p in found if not whole or files.exists(mark(p, "_SUCCESS"))]
+    return sorted((int(p.getName()[len("version=") :].partition("-")[0]), p.toString()) for p in kept)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last committed version."""
+    return spark.read.parquet(_versions(spark, path)[-1][1])
+
+
+def rollback(spark: SparkSession, path: str) -> str | None:
+    """Takes the last committed version back, and all that were begun after it; gives the folder of the one before, if there is one."""
+    whole = _versions(spark, path)
+    for n, folder in _versions(spark, path, whole=False):
+        if whole and n >= whole[-1][0]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return whole[-2][1] if len(whole) > 1 else None
+
+
 def export_xml(df: DataFrame, path: str, row_tag: str = "row", root_tag: str = "rows") -> None:
     df.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
 
