@@ -404,7 +404,11 @@ def near(found: list[Column], lengths: list[int]) -> Column:
     last back to the first, so that what comes next is known at each.
     """
     n = len(found)
-    every = F.array_sort(F.concat(*[F.transform(p, lambda at, i=i: F.struct(at.cast("int").alias("at"), F.lit(i).alias("w"))) for i, p in enumerate(found)]))
+
+    def named(i: int) -> Callable[[Column], Column]:
+        return lambda at: F.struct(at.cast("int").alias("at"), F.lit(i).alias("w"))
+
+    every = F.array_sort(F.concat(*[F.transform(p, named(i)) for i, p in enumerate(found)]))
     start = F.struct(F.array(*[F.lit(None).cast("int")] * n).alias("next"), F.lit(0.0).alias("best"))
 
     def gap(first: Column, last: Column) -> Column:

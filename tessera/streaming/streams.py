@@ -14,22 +14,35 @@ def read(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", fil
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _time(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
+ZERO = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def _time(df: DataFrame, ts: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """df with a time that a stream can have a watermark on, and how a window's bounds become times without a zone.
+
+    Times without a zone are read as UTC and given back so, whatever the session's zone: no hour is lost or
+    doubled where clocks change. Tables need no watermark, so there they stay as they are.
+    """
+    if dict(df.dtypes)[ts] != "timestamp_ntz":
+        return df, lambda c: F.col(c).cast("timestamp_ntz")
+    if not df.isStreaming:
+        return df, F.col
+    df = df.withColumn(ts, F.concat(F.col(ts).cast("string"), F.lit("Z")).cast("timestamp"))
+    return df, lambda c: F.expr(f"{ZERO} + make_dt_interval(0, 0, 0, CAST(unix_micros({c}) AS DECIMAL(18, 0)) / 1000000)")
 
 
 def tumbling(df: DataFrame, ts: str, width: str, keys: list[str], *aggregates: Column, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """window_start, window_end, keys and aggregates, of a stream or a table."""
-    df = _time(df, ts)
+    df, plain = _time(df, ts)
     df = df.withWatermark(ts, late) if df.isStreaming else df
     grouped = df.groupBy(F.window(ts, width, slide), *keys) if slide else df.groupBy(F.window(ts, width), *keys)
-    return grouped.agg(*aggregates).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), F.col("window.end").cast("timestamp_ntz").alias("window_end"), "*").drop("window")
+    return grouped.agg(*aggregates).select(plain("window.start").alias("window_start"), plain("window.end").alias("window_end"), "*").drop("window")
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], *aggregates: Column, late: str = "10 minutes") -> DataFrame:
-    df = _time(df, ts)
+    df, plain = _time(df, ts)
     df = df.withWatermark(ts, late) if df.isStreaming else df
-    return df.groupBy(F.session_window(ts, gap), *keys).agg(*aggregates).select(F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "*").drop("session_window")
+    return df.groupBy(F.session_window(ts, gap), *keys).agg(*aggregates).select(plain("session_window.start").alias("session_start"), plain("session_window.end").alias("session_end"), "*").drop("session_window")
 
 
 def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
