@@ -6,15 +6,16 @@ first n - ceil(THRESHOLD * n) + 1 must be (prefix filter); a block needs as many
 minimum (length filter), and what may follow the first shared token must suffice (positional filter).
 The pairs left are counted exactly.
 
-A block is a line, or, of lines over BLOCK_WORDS words, each window of BLOCK_WORDS words at every
-BLOCK_WORDS / 2 words, so that each passage of half a window lies in one block. A template that no line of
-a text contains may be wrapped, so it is sought in windows over the words of all lines joined, too; there its
-tokens must stand within SPAN times its words, as words of unrelated lines meet in a window by chance. Only
-template tokens of a block matter, and templates are a fixed list: what is collected or broadcast has its size.
+A block is each window of BLOCK_WORDS words of a text at every BLOCK_WORDS / 2 words, whatever the line ends, so
+that each passage of half a window lies in one block, however it is wrapped. As words of unrelated lines meet in
+a window by chance, a template's tokens must stand within SPAN times its words there. Only template tokens of a
+block matter, and templates are a fixed list: what is collected or broadcast has its size. Words of blocks are
+lower-cased as Unicode has it, those of the plain phrases in A-Z alone.
 
 Rows: a null text is empty, has no words and no label, and scores 0. Repeated rows get the same result
-each. Results meet their rows by (id, hash of the text), nulls equal to nulls. Empty tables give empty
-results. Columns of the input named as results are replaced.
+each, and ties (several blocks or templates of a label) one label. Results meet their rows by (id, hash of the
+text), nulls equal to nulls. Empty tables give empty results. Columns of the input named as results are replaced.
+Texts of any length are scanned whole; their words are held one text at a time.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower
 
 #: What separates words, and the phrases of the plain scan.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same words before letters are lower-cased, as a positive class with its most frequent part first: long negated classes are slow.
+WORD_ANY_CASE = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]++"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Sentences of well-known licenses, by label.
 TEMPLATES = [
@@ -51,7 +52,7 @@ TEMPLATES = [
 ]
 #: Share of a template's tokens that a block must hold, and the words of a block.
 THRESHOLD, BLOCK_WORDS = 0.8, 64
-#: Words that a template in joined lines may take up, as a multiple of its own (what marks comments may stand between).
+#: Words that a template may take up, as a multiple of its own (what marks comments may stand between).
 SPAN = 1.25
 
 
@@ -59,6 +60,10 @@ def needed(n: int) -> int:
     return math.ceil(THRESHOLD * n - 1e-9)
 
 
+def span(sentence: str) -> int:
+    return int(SPAN * len(sentence.split()))
+
+
 def _words(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORD), "")
 
@@ -73,10 +78,7 @@ def ordered_tokens(df: DataFrame, text: str = "text") -> list[str]:
 
 
 def license_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row for each block and template that it contains: keys, line and word where the block begins, template, label, containment.
-
-    Line -1 stands for all lines joined, for templates that no single line contains.
-    """
+    """One row for each block and template that it contains: keys, word where the block begins, template, label, containment."""
     spark = df.sparkSession
     order = ordered_tokens(df, text)
     rank = {w: i for i, w in enumerate(order)}
@@ -84,37 +86,29 @@ def license_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     for i, (label, sentence) in enumerate(TEMPLATES):
         tokens = sorted(set(sentence.split()), key=rank.__getitem__)
         n, o = len(tokens), needed(len(tokens))
-        templates.append((i, label, tokens, int(SPAN * len(sentence.split()))))
+        templates.append((i, label, tokens, span(sentence)))
         prefixes += [(tokens[j], i, j, n, o) for j in range(n - o + 1)]
-    rare = sorted({p[0] for p in prefixes})
-    any_rare = F.array(*map(F.lit, rare))
-    likely = df.where(F.arrays_overlap(_words(F.lower(F.col(text))), any_rare))
-    parts = F.split(F.col(text), "\n")
-    several = F.size("_parts") > 1
-    lines = likely.select(*keys, text, parts.alias("_parts"))
-    lines = lines.select(*keys, F.size("_parts").alias("_n"), F.posexplode(F.when(several, F.concat("_parts", F.array(text))).otherwise(F.col("_parts"))).alias("line", "_line"))
-    lines = lines.withColumn("line", F.when(F.col("line") < F.col("_n"), F.col("line")).otherwise(-1))
-    lines = lines.select(*keys, "line", _words(F.lower("_line")).alias("_words")).where(F.arrays_overlap("_words", any_rare))
+    any_rare = F.array(*map(F.lit, sorted({p[0] for p in prefixes})))
+    least = min(p[4] for p in prefixes)
+    likely = df.select(*keys, _words(F.lower(F.col(text))).alias("_words")).where(F.arrays_overlap("_words", any_rare))
     half = BLOCK_WORDS // 2
     starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - half - 1, F.lit(0)), F.lit(half))
-    blocks = lines.select(*keys, "line", "_words", F.explode(starts).alias("word"))
-    block = F.slice("_words", F.col("word") + 1, BLOCK_WORDS)
-    blocks = blocks.select(*keys, "line", "word", F.when(F.col("line") < 0, block).alias("_joined"), F.array_intersect(F.array(*map(F.lit, order)), block).alias("_tokens"))
-    blocks = blocks.where(F.size("_tokens") >= min(p[4] for p in prefixes))
+    cut = F.transform(starts, lambda at: F.struct(at.alias("word"), F.slice("_words", at + 1, F.lit(BLOCK_WORDS)).alias("block")))
+    cut = F.filter(cut, lambda b: F.arrays_overlap(b["block"], any_rare))
+    blocks = likely.select(*keys, F.explode(cut).alias("_b")).select(*keys, "_b.word", F.col("_b.block").alias("_block"))
+    blocks = blocks.withColumn("_tokens", F.array_intersect(F.array(*map(F.lit, order)), "_block")).where(F.size("_tokens") >= least)
     index = spark.createDataFrame(prefixes, "token string, template int, _at int, _n int, _needed int")
     tokens = spark.createDataFrame(templates, "template int, label string, _of array<string>, _span int")
-    seen = blocks.select(*keys, "line", "word", "_joined", "_tokens", F.posexplode("_tokens").alias("_pos", "token"))
+    seen = blocks.select(*keys, "word", "_block", "_tokens", F.posexplode("_tokens").alias("_pos", "token"))
     pairs = seen.join(F.broadcast(index), "token")
     size = F.size("_tokens")
     pairs = pairs.where((size >= F.col("_needed")) & (1 + F.least(size - F.col("_pos") - 1, F.col("_n") - F.col("_at") - 1) >= F.col("_needed")))
     # each pair once: at the first token that both hold
     pairs = pairs.join(F.broadcast(tokens), "template").withColumn("_both", F.array_intersect("_tokens", "_of"))
     pairs = pairs.where((F.get("_both", F.lit(0)) == F.col("token")) & (F.size("_both") >= F.col("_needed")))
-    near = F.transform(F.sequence(F.lit(1), F.size("_joined")), lambda i: F.size(F.array_intersect("_of", F.slice("_joined", i, F.col("_span")))))
-    pairs = pairs.withColumn("_held", F.when(F.col("line") < 0, F.array_max(near)).otherwise(F.size("_both"))).where(F.col("_held") >= F.col("_needed"))
-    pairs = pairs.withColumn("_last", F.max("line").over(W.partitionBy(*keys, "template")))
-    pairs = pairs.where((F.col("line") >= 0) | (F.col("_last") < 0))
-    return pairs.select(*keys, "line", "word", "template", "label", (F.col("_held") / F.col("_n")).alias("containment"))
+    near = F.transform(F.sequence(F.lit(1), F.size("_block")), lambda i: F.size(F.array_intersect("_of", F.slice("_block", i, F.col("_span")))))
+    pairs = pairs.withColumn("_held", F.array_max(near)).where(F.col("_held") >= F.col("_needed"))
+    return pairs.select(*keys, "word", "template", "label", (F.col("_held") / F.col("_n")).alias("containment"))
 
 
 def _starts(phrase: list[str], label: str):
@@ -131,7 +125,8 @@ def _starts(phrase: list[str], label: str):
 
 def phrase_places(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words and places: an array of (label, word) for every place where a phrase's words stand consecutively."""
-    likely = F.col(text).rlike(r"(?i)license|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by")
+    low = F.lower(F.col(text))
+    likely = F.contains(low, F.lit("license")) | low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]++by")
     out = df.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long"))
     out = out.withColumn("_words", F.when(likely, _words(ascii_lower(F.col(text)))).otherwise(F.array().cast("array<string>")))
     found = [F.filter(F.transform("_words", _starts(phrase.split(), label)), lambda x: x.isNotNull()) for phrase, label in PHRASES.items()]
@@ -144,7 +139,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     score is 1 with a phrase, else the largest containment of a template in a block, else 0.
     """
     keyed = df.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    hits = license_blocks(keyed, ["_id", "_h"], "_text").groupBy("_id", "_h").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"), F.count_distinct("line", "word").alias("_blocks"))
+    hits = license_blocks(keyed, ["_id", "_h"], "_text").groupBy("_id", "_h").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"), F.count_distinct("word").alias("_blocks"))
     hits = hits.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "_more", "_best", "_blocks")
     base = phrase_places(keyed, "_text").drop("_text")
     out = base.join(hits, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")

@@ -13,19 +13,19 @@ def _list(values: list[str]) -> str:
 
 def _licenses() -> str:
     phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({_list(sorted(set(t.split())))}, '{label}', {licenses.needed(len(set(t.split())))})" for label, t in licenses.TEMPLATES)
+    templates = ", ".join(f"({_list(sorted(set(t.split())))}, '{label}', {licenses.needed(len(set(t.split())))}, {licenses.span(t)})" for label, t in licenses.TEMPLATES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     size = licenses.BLOCK_WORDS
     return f"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all({LOW}, '{word}') AS w FROM documents),
 phrases(p, label) AS (VALUES {phrases}),
-templates(t, label, needed) AS (VALUES {templates}),
+templates(t, label, needed, span) AS (VALUES {templates}),
 hits AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS place FROM d, phrases),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id),
-lines AS (SELECT doc_id, line, regexp_extract_all(lower(x), '{word}') AS v FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents)),
-blocks AS (SELECT doc_id, line, place, list_distinct(v[place + 1:place + {size}]) AS b FROM (SELECT *, unnest(range(0, greatest(len(v) - {size // 2} - 1, 0) + 1, {size // 2})) AS place FROM lines)),
-found AS (SELECT doc_id, line, place, label, len(list_intersect(b, t)) / len(t) AS c FROM blocks, templates WHERE len(list_intersect(b, t)) >= needed),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best, count(DISTINCT (line, place)) AS n FROM found GROUP BY doc_id)
+blocks AS (SELECT doc_id, place, v[place + 1:place + {size}] AS b FROM (SELECT *, unnest(range(0, greatest(len(v) - {size // 2} - 1, 0) + 1, {size // 2})) AS place FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS v FROM documents))),
+near AS (SELECT * FROM blocks, templates WHERE len(list_intersect(b, t)) >= needed),
+found AS (SELECT * FROM (SELECT doc_id, place, label, needed, list_max(list_transform(range(1, len(b) + 1), lambda i: len(list_intersect(t, b[i:i + span - 1])))) AS held, len(t) AS n FROM near) WHERE held >= needed),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(held / n) AS best, count(DISTINCT place) AS n FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base.labels, []::VARCHAR[])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []::VARCHAR[]), coalesce(more.labels, []::VARCHAR[])))), ',') AS labels,
