@@ -51,15 +51,15 @@ def test_licenses(spark):
             here = [k for k in range(len(w)) if w[k : k + len(p)] == p]
             starts += here
             labels |= {label} if here else set()
-        for line in (t or "").split("\n"):
-            v = words_of(line)
-            for at in range(0, max(len(v) - 33, 0) + 1, 32):
-                for label, sentence in licenses.TEMPLATES:
-                    s = set(sentence.split())
-                    n = len(s & set(v[at : at + 64]))
-                    if n >= licenses.needed(len(s)):
-                        more.add(label)
-                        best = max(best, n / len(s))
+        v = words_of((t or "").lower())
+        for at in range(0, max(len(v) - 33, 0) + 1, 32):
+            block = v[at : at + 64]
+            for label, sentence in licenses.TEMPLATES:
+                s = set(sentence.split())
+                n = max((len(s & set(block[k : k + licenses.span(sentence)])) for k in range(len(block))), default=0)
+                if n >= licenses.needed(len(s)):
+                    more.add(label)
+                    best = max(best, n / len(s))
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
         assert r["base_labels"] == ",".join(sorted(labels)) and r["labels"] == ",".join(sorted(labels | more))
@@ -67,6 +67,33 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+#: The notices as they are published, in lines.
+NOTICES = {
+    "mit": '''Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights''',
+    "apache": '''# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0''',
+    "gpl": ''' * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or''',
+    "bsd": '''// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:''',
+}
+
+
+def test_published_notices(spark):
+    rng = random.Random(4)
+    lorem = lambda n: " ".join(rng.choice(["lorem", "ipsum", "the", "of", "a"]) for _ in range(n))
+    texts = [f"{lorem(k)}\n{notice}\n{lorem(50)}" for notice in NOTICES.values() for k in (0, 31, 45, 200)]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, label in enumerate(x for x in NOTICES for _ in range(4)):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.8
+
+
 def test_wrapped_licenses(spark):
     comment = lambda words, n: "\n".join(" * " + " ".join(words[k : k + n]) for k in range(0, len(words), n))
     texts, expected = [], []
