@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import lean, release
+
 #: Characters that the short way of splitting knows; texts with any other go through the library's normalizer.
 KNOWN = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028), 0x20AC)]
 SPACES = "".join(c for c in KNOWN if ord(c) in (*range(9, 14), 0x20, 0x85, 0xA0))
@@ -180,6 +182,7 @@ def loaded(spec: bytes) -> WordBPE:
     if spec not in _loaded:
         _loaded.clear()
         _loaded[spec] = WordBPE(spec)
+        release()  # of what parsing took
     return _loaded[spec]
 
 
@@ -220,7 +223,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
                 yield pa.RecordBatch.from_arrays(out, [*kept, ids, *([decoded] if decoded else [])])
 
     more = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
-    return df.mapInArrow(run, _schema(df, **more))
+    return df.mapInArrow(lean(run), _schema(df, **more))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -240,4 +243,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 bounds = np.append(0, np.cumsum(sizes[i:j]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(order[c]).slice(i, j - i) for c in kept), bpe.decode(flat, bounds)], [*kept, decoded])
 
-    return df.mapInArrow(run, _schema(df, **{decoded: T.StringType()}))
+    return df.mapInArrow(lean(run), _schema(df, **{decoded: T.StringType()}))

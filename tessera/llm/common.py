@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives back its memory when it has ended."""
+
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return lean_run
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of a group."""
+
+    def lean_run(pdf):
+        out = run(pdf)
+        release()
+        return out
+
+    return lean_run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,4 +94,4 @@ def from_text(df: DataFrame, text: str, keep: list[str], compute: Callable[[str]
                 columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], [*kept, *fields.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CLEANUP, discard, materialize, settings
+from tessera.llm.common import CLEANUP, discard, lean, lean_group, materialize, settings
 from tessera.llm.graph import components
 from tessera.llm.ngram_join import merge
 
@@ -46,7 +46,7 @@ LEAST_COSINE, RECALL = 0.93, 0.97
 #: Bits by which candidates may differ: as those of vectors at 45 degrees are expected to.
 MAX_BITS = BITS // 4
 #: Rows of a part of a bucket or component, rows of a group of tiles, and cells of a matrix.
-PART, GROUP, CELLS = 4096, 16_384, 4_000_000
+PART, GROUP, CELLS = 4096, 16_384, 1_000_000
 #: Narrowest and widest key, and the power of two of a bucket's rows that keys are made for.
 NARROW, WIDE, BUCKET = 4, 24, 5
 
@@ -166,7 +166,7 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
             name = pa.array([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), name, pa.array(lengths), pa.array(c[:, 0].view(np.int64)), pa.array(c[:, 1].view(np.int64))], ["vec_id", "label", "name", "size", "c0", "c1"])
 
-    rows = df.mapInArrow(code, f"vec_id {id_kind}, label {label_kind}, name binary, size int, c0 long, c1 long")
+    rows = df.mapInArrow(lean(code), f"vec_id {id_kind}, label {label_kind}, name binary, size int, c0 long, c1 long")
     node = F.when(F.col("name").isNotNull(), F.xxhash64("label", "name")).alias("node")
     rows = materialize(rows.select("vec_id", "label", node, "size", "c0", "c1"), "codes")
     one = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"), *[F.min(c).alias(c) for c in ("label", "size", "c0", "c1")])
@@ -187,7 +187,7 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(at), t, np.int32)), pa.array(key.astype(np.int32))], [*part.schema.names, "t", "key"])
 
     known = one.join(sizes.withColumnRenamed("label", "l").withColumnRenamed("size", "s"), (F.col("label") == F.col("l")) & (F.col("size") == F.col("s")))
-    dealt = known.select("label", "size", "node", "c0", "c1", "rows").mapInArrow(keys, f"label {label_kind}, size int, node long, c0 long, c1 long, t int, key int")
+    dealt = known.select("label", "size", "node", "c0", "c1", "rows").mapInArrow(lean(keys), f"label {label_kind}, size int, node long, c0 long, c1 long, t int, key int")
     dealt = materialize(dealt.select(F.xxhash64("label", "size", "t", "key").alias("bucket"), "node", "c0", "c1"), "buckets")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,7 +205,7 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
                 out.append(_edges(b["node"].to_numpy(), found))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    near = materialize(in_tiles(dealt, "bucket", "node").groupBy("g").applyInPandas(meet, "a long, b long"), "candidates")
+    near = materialize(in_tiles(dealt, "bucket", "node").groupBy("g").applyInPandas(lean_group(meet), "a long, b long"), "candidates")
     groups = components(near.distinct())
     wanted = materialize(groups.join(one.select("node", "weight"), "node"), "wanted")
     bits = 1 << 24  # a bitmap of 2 MB at most tells which vectors are needed
@@ -226,8 +226,8 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
             hit = [bool((b := bits.get(i)) and b[j >> 3] >> (j & 7) & 1) for i, j in zip(k, p, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
-    vectors = df.select("label", "v").mapInArrow(fetch, f"label {label_kind}, name binary, raw binary").where("name is not null").select(F.xxhash64("label", "name").alias("node"), "raw")
-    vectors = vectors.select("node", "raw", F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).mapInArrow(chosen, "node long, raw binary").dropDuplicates(["node"])
+    vectors = df.select("label", "v").mapInArrow(lean(fetch), f"label {label_kind}, name binary, raw binary").where("name is not null").select(F.xxhash64("label", "name").alias("node"), "raw")
+    vectors = vectors.select("node", "raw", F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).mapInArrow(lean(chosen), "node long, raw binary").dropDuplicates(["node"])
     members = materialize(wanted.join(vectors, "node"), "members")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,7 +252,7 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"a": ids[hit], "n": n[hit], "b": ids[found[hit]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "n": [], "b": []}, dtype="int64")
 
-    found = materialize(in_tiles(members, "root", "node").groupBy("g").applyInPandas(judge, "a long, n long, b long"), "found")
+    found = materialize(in_tiles(members, "root", "node").groupBy("g").applyInPandas(lean_group(judge), "a long, n long, b long"), "found")
     roots = components(found.select("a", "b").distinct())
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     # of vectors that stand alone nothing is to be joined

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ARROW_ROWS, CLEANUP, discard, materialize, settings
+from tessera.llm.common import ARROW_ROWS, CLEANUP, discard, lean, lean_group, materialize, settings
 from tessera.llm.graph import components
 
 #: Words of a shingle, and percent of a link.
@@ -49,7 +49,7 @@ WORDS, SIMILAR = 5, 80
 #: Frequent shingles that the order knows at most, the count that makes one, and the count of a hot column.
 MAX_FREQUENT, FREQUENT, HOT = 1 << 20, 8, 1 << 18
 #: Entries of a block of columns; cells of a count matrix; rows from which a column is multiplied densely.
-BLOCK, CELLS, DENSE = 400_000, 4_000_000, 48
+BLOCK, CELLS, DENSE = 400_000, 1_000_000, 48
 #: Least and most entries of a part of rows, and shingles of a part of whole sets: between these a part is a SHARE of all.
 PART, WHOLE, SHARE = (8_000, 50_000), (100_000, 1_000_000), 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +132,7 @@ def read(docs: DataFrame) -> DataFrame:
             yield keyed(held, id_kind)
 
     names = ["doc_id", "n", "set", "part", "keys"]
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, set long, part int, keys binary")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n int, set long, part int, keys binary")
 
 
 def frequent(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def frequent(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         many = n >= FREQUENT
         return pd.DataFrame({"key": keys[many].astype(np.int64), "n": n[many].astype(np.int64)})
 
-    counted = materialize(made.where("keys is not null").select("part", "keys").groupBy("part").applyInPandas(count, "key long, n long"), "counts")
+    counted = materialize(made.where("keys is not null").select("part", "keys").groupBy("part").applyInPandas(lean_group(count), "key long, n long"), "counts")
     levels = counted.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()  # as many rows as a count has bits
     least, held = FREQUENT, 0
     for level, n in sorted(levels, reverse=True):
@@ -219,8 +219,8 @@ def columns(docs: DataFrame, total: int, keys: np.ndarray, counts: np.ndarray) -
         many = np.repeat(size >= 2, size) | (known(sh) >= HOT)  # a hot column's other rows may be in other blocks
         return pd.DataFrame({"shingle": sh.view(np.int64), "set": ids, "n": n, "rare": rare})[many]
 
-    dealt = docs.select("text").mapInArrow(deal, "block int, shingle binary, row binary, set binary, n binary, rare binary")
-    return dealt.groupBy("block").applyInPandas(meet, "shingle long, set long, n int, rare int")
+    dealt = docs.select("text").mapInArrow(lean(deal), "block int, shingle binary, row binary, set binary, n binary, rare binary")
+    return dealt.groupBy("block").applyInPandas(lean_group(meet), "shingle long, set long, n int, rare int")
 
 
 def part_size(bounds: tuple[int, int], total: int) -> int:
@@ -269,7 +269,7 @@ def needed(docs: DataFrame, made: DataFrame, names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "shingles"])
 
     keyed = docs.select("text", F.bitmap_bucket_number(where).alias("k"), F.bitmap_bit_position(where).alias("p"))
-    found = keyed.mapInArrow(run, "set long, shingles binary").join(names, "set", "left_semi")
+    found = keyed.mapInArrow(lean(run), "set long, shingles binary").join(names, "set", "left_semi")
     return materialize(found.dropDuplicates(["set"]), "whole")
 
 
@@ -289,7 +289,7 @@ def linked(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    out = materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long"), "links")
+    out = materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(lean(overlap), "a long, b long"), "links")
     discard(pairs, ends, one)
     return out
 
@@ -406,7 +406,7 @@ def candidates(entries: DataFrame, roots: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    edges = materialize(tiles.groupBy("g").applyInPandas(tile, "a long, b long"), "candidates")
+    edges = materialize(tiles.groupBy("g").applyInPandas(lean_group(tile), "a long, b long"), "candidates")
     discard(rooted, mixed, active, split, owner, dealt, touched)
     return edges
 
@@ -442,7 +442,7 @@ def decided(groups: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    links = materialize(tiles.groupBy("g").applyInPandas(tile, "a long, b long"), "links")
+    links = materialize(tiles.groupBy("g").applyInPandas(lean_group(tile), "a long, b long"), "links")
     discard(whole, sized, split)
     return links
 
