@@ -260,8 +260,8 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
     linked = materialize(linked.select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "linked")
     least = materialize(linked.groupBy("root").agg(F.min("first").alias("component")), "least")
     known = materialize(linked.join(least, "root").select(F.col("node").alias("k"), "n_links", "component"), "known")
-    lean = materialize(rows.select("vec_id", "node"), "rows")
+    slim = materialize(rows.select("vec_id", "node"), "rows")
     discard(rows, one, sizes, dealt, near, groups, wanted, members, found, roots, linked, least)
-    out = lean.join(known, F.col("node") == F.col("k"), "left")
+    out = slim.join(known, F.col("node") == F.col("k"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
