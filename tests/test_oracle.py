@@ -40,3 +40,27 @@ def test_query(spark, duck, name):
         assert sorted(given) == names
         places = sorted(range(len(given)), key=given.__getitem__)
         assert rows == ordered([tuple(plain(r[i]) for i in places) for r in cursor.fetchall()])
+
+
+#: What queries that give an order sort by.
+ORDERS = {
+    "jsql_path_join": lambda r: -r["l_extendedprice"],
+    "jsql_order_by": lambda r: (r["c_mktsegment"].lower(), -r["c_acctbal"], r["c_custkey"]),
+    "idx_range": lambda r: -r["p_size"],
+    "cmp_range": lambda r: (len(r["p_name"]), tuple(-ord(c) for c in r["p_name"].lower())),
+    "agg_ordered": lambda r: r["n_regionkey"],
+    "spatial_knn": lambda r: (r["distance"], r["p_partkey"]),
+    "spatial_knn_nd": lambda r: (r["distance"], r["vec_id"]),
+    "ts_range": lambda r: r["ts"],
+    "ver_text_slice": lambda r: -r["version"],
+    "ft_rank": lambda r: (-r["rank"], r["doc_id"]),
+    "ft_stored_rank": lambda r: (-r["rank"], r["doc_id"]),
+    "ft_rank_near": lambda r: (-r["rank"], r["doc_id"]),
+    "eav_occurrences": lambda r: r["text"].lower(),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERS))
+def test_order(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert len(rows) > 1 and rows == sorted(rows, key=ORDERS[name])
