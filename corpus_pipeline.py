@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, ngram_join, secret_scan, toxicity
-from tessera.llm.common import discard, materialize, n_words, table
+from tessera.llm.common import discard, materialize, n_words, packed, table, unpacked
 from tessera.llm.queries import tokenizer_path, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half stay."""
-    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
-    return scored.where("score < 0.5").select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]  # held apart, as one of them may be named like a result
+    scored = toxicity.score(docs.select(packed(docs, rest), "text"), toxicity_model(spark, docs, sf_dir))
+    return scored.where("score < 0.5").select(*unpacked(rest), "text").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
