@@ -316,3 +316,58 @@ def test_pipeline(spark):
     assert {tuple(r)[:2]: r["count"] for r in mixture(spark, repeated, sf).groupBy(key[1], key[0].alias("h")).count().collect()} == wanted
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().where(F.col("count") > 2).count() == 0
     assert tokens(spark, docs.limit(5), sf).count() == 5
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Toxicity by the model's own score, secrets by a plain procedure, tokens by the tokenizers library."""
+    import corpus_pipeline
+    from tessera.llm import secret_scan
+    from tessera.llm.queries import tokenizer_path, toxicity_model
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    (_, toxic), _, (_, secrets), _, (_, tokens) = corpus_pipeline.STAGES
+    model = toxicity_model(spark, docs, sf)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"] for r in toxic(spark, docs, sf).collect()} == {i for i, t in texts.items() if model.score(t)[0] < 0.5}
+    found = {i: secret_scan.find(t or "") for i, t in texts.items()}
+    steps = {}
+    for _, tested in found.values():
+        for _, _, kind, step, _ in tested:
+            steps.setdefault(kind, []).append(step)
+    least = {}
+    for kind, of in steps.items():  # Benjamini and Hochberg, run by run
+        ranked = sorted(of, reverse=True)
+        passing = [x for r, x in enumerate(ranked, 1) if x >= 0 and 10 ** (-x / secret_scan.STEPS) <= secret_scan.FDR * sum(y >= x for y in ranked) / len(ranked)]
+        if passing:
+            least[kind] = min(passing)
+
+    def cut(i):
+        plain, tested = found[i]
+        more = [(a, b, "random") for a, b, kind, step, _ in tested if kind in least and step >= least[kind] and not any(x < b and a < y for x, y, _ in plain)]
+        return secret_scan.cut(texts[i], sorted(plain + more)) if texts[i] is not None else None
+
+    assert {r["doc_id"]: r["text"] for r in secrets(spark, docs, sf).collect()} == {i: cut(i) for i in texts}
+    lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for r in tokens(spark, docs.limit(50), sf).collect():
+        assert r["ids"] == lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+
+
+def test_pipeline_of_odd_tables(spark):
+    """Nulls everywhere, repeated rows, an empty table, and columns named like results."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    odd = docs.unionAll(docs.limit(2)).unionAll(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string")))
+    odd = odd.unionAll(docs.limit(3).select("doc_id", F.lit(None).cast("string").alias("text"), "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars")))
+    odd = odd.withColumns({c: F.col("doc_id") for c in ("score", "copies", "ids", "component_id", "spans", "row", "h")})
+    for given in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, given, sf)
+            if name == "bpe":
+                assert got.columns == ["doc_id", "source", "n_tokens", "ids"] and got.count() == given.count()
+            else:
+                assert got.columns == given.columns and got.where("not doc_id <=> score or not score <=> ids").isEmpty()
+                assert got.count() == given.count() if name == "secrets" else True
