@@ -190,19 +190,35 @@ def _near_duplicates(df: DataFrame) -> DataFrame:
     dealt = known.select("label", "size", "node", "c0", "c1", "rows").mapInArrow(lean(keys), f"label {label_kind}, size int, node long, c0 long, c1 long, t int, key int")
     dealt = materialize(dealt.select(F.xxhash64("label", "size", "t", "key").alias("bucket"), "node", "c0", "c1"), "buckets")
 
+    def near_codes(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(c[i, k] ^ c[j, k]).astype(np.int16) for k in (0, 1)) <= MAX_BITS
+
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, lo, hi), b in pdf.groupby(["bucket", "lo", "hi"], sort=False):
-            if len(b) > 1:
-                b = b.sort_values("node")
-                left, right = (np.flatnonzero(b["own"].to_numpy() == p) for p in (lo, hi))
-                c = b[["c0", "c1"]].to_numpy().view(np.uint64)
-                found = np.arange(len(b))
-                for s in _sliced(len(left), len(right)):
-                    differ = sum(np.bitwise_count(c[left[s], None, k] ^ c[None, right, k]).astype(np.int16) for k in (0, 1))
-                    x, y = np.nonzero(differ <= MAX_BITS)
-                    merge(found, left[s][x], right[y])
-                out.append(_edges(b["node"].to_numpy(), found))
+        # tiles of one part with itself, all at once: buckets are mostly small
+        b = pdf[pdf["lo"] == pdf["hi"]].sort_values(["bucket", "lo", "node"])
+        if len(b):
+            c, tile, found = b[["c0", "c1"]].to_numpy().view(np.uint64), b[["bucket", "lo"]].to_numpy(), np.arange(len(b))
+            last = np.append(np.flatnonzero((tile[1:] != tile[:-1]).any(1)), len(b) - 1)
+            width = np.repeat(last, np.diff(np.append(-1, last))) - found
+            total, at = np.append(0, np.cumsum(width)), 0
+            while at < len(b):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + CELLS, "right")) - 1)
+                i = np.repeat(np.arange(at, to), width[at:to])
+                j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], width[at:to])
+                ok = near_codes(c, i, j)
+                merge(found, i[ok], j[ok])
+                at = to
+            out.append(_edges(b["node"].to_numpy(), found).drop_duplicates())
+        for _, b in pdf[pdf["lo"] != pdf["hi"]].groupby(["bucket", "lo", "hi"], sort=False):
+            b = b.sort_values("node")
+            own, lo, hi = b["own"].to_numpy(), b["lo"].iloc[0], b["hi"].iloc[0]
+            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            c, found = b[["c0", "c1"]].to_numpy().view(np.uint64), np.arange(len(b))
+            for s in _sliced(len(left), len(right)):
+                x, y = np.nonzero(near_codes(c, left[s][:, None], right[None, :]))
+                merge(found, left[s][x], right[y])
+            out.append(_edges(b["node"].to_numpy(), found))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     near = materialize(in_tiles(dealt, "bucket", "node").groupBy("g").applyInPandas(lean_group(meet), "a long, b long"), "candidates")
