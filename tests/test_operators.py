@@ -76,6 +76,41 @@ def test_overlap_join_of_whole_table(spark, tmp_path):
     assert values(QUERIES["spatial_overlap_join"](spark, str(tmp_path))) == sorted(expected)
 
 
+def test_overlap_join_of_full_cells(spark):
+    """A cell with many records is shared by tasks, though the file is small."""
+
+    def side(n):
+        df = spark.range(0, 4000, 1, 1).select(F.col("id").alias(f"{n}k"), F.lit(10.0).alias(f"{n}x"), (10 + F.col("id") * 0.001).alias(f"{n}y"))
+        return df, spatial.Box.of((f"{n}x", F.col(f"{n}x") + 1), (f"{n}y", F.col(f"{n}y") + 0.0105))
+
+    pairs = spatial.overlap_join(*side("a"), *side("b"), 100.0)
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 21 * 4000 - 110 and len(shares) > 1
+    assert pairs.where("abs(ak - bk) > 10").isEmpty() and pairs.distinct().count() == sum(shares)
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_overlap_join_of_small_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(spatial, "BLOCK", block)
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 50)
+    rng = random.Random(block)
+
+    def rows(n):
+        lows = [(rng.choice([-6.0, 0.0, 2.5]) + rng.randrange(8) / 2, rng.randrange(-8, 8) / 2) for _ in range(n)]
+        return [(k, x, x + rng.choice([0, 1, 7]), y, y + rng.choice([0, 0.5, 4])) for k, (x, y) in enumerate(lows)] + [(n, None, 1.0, 0.0, 1.0), (n + 1, 0.0, 1.0, 0.0, None)]
+
+    def side(n, data):
+        return spark.createDataFrame(data, f"{n}k int, {n}x0 double, {n}x1 double, {n}y0 double, {n}y1 double"), spatial.Box.of((f"{n}x0", f"{n}x1"), (f"{n}y0", f"{n}y1"))
+
+    a, b = rows(60), rows(40)
+    got = spatial.overlap_join(*side("a", a), *side("b", b), 3.0)
+    assert got.columns == ["ak", "ax0", "ax1", "ay0", "ay1", "bk", "bx0", "bx1", "by0", "by1"]
+    expected = [(i, j) for i, *p in a for j, *q in b if None not in p + q and p[0] <= q[1] and p[1] >= q[0] and p[2] <= q[3] and p[3] >= q[2]]
+    assert values(got.select("ak", "bk")) == sorted(expected)
+    empty = spatial.overlap_join(*side("a", a[:0]), *side("b", b), 3.0)
+    assert empty.isEmpty()
+
+
 def test_best_match_in_whole_table(spark, tmp_path):
     spark.createDataFrame([(k, name) for k, name in enumerate(["kettle", "kernel", "lamp post"], 1)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = QUERIES["patricia_best_match"](spark, str(tmp_path)).select("p_name", "matched", "value")
